@@ -33,6 +33,8 @@ from linkloom.llm.common import shared_table
 
 MOST_ROWS, FIT_PARTS = 100_000, 16
 FEATURES, RIDGE, SEED, STEPS = 300, 1e-3, 11, 1_000
+#: Kernel width as a share of the root of the number of statistics; standard deviations at most.
+WIDTH, FAR = 1.6, 4.0
 ACCEPT = 0.7
 #: Character classes whose shares are statistics.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"|", b"!?", b".", b",", b"\n", b" \t", b"{}[]()=;:/\\_\"'`~^@+-")
@@ -83,7 +85,7 @@ class Model:
     value: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        z = np.cos((x - self.mean) / self.scale @ self.w + self.b) * np.sqrt(2 / len(self.b))
+        z = np.cos(np.clip((x - self.mean) / self.scale, -FAR, FAR) @ self.w + self.b) * np.sqrt(2 / len(self.b))
         return np.concatenate([z, np.ones((len(x), 1))], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -137,7 +139,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
     one = rows.select(*[F.col("x")[i].cast("double").alias(f"s{i}") for i in range(SIZE)])
     got = one.agg(F.count("*").alias("n"), *[f(f"s{i}").alias(f"{f.__name__}{i}") for i in range(SIZE) for f in (F.avg, F.stddev_pop)]).first()
     rng = np.random.default_rng(SEED)
-    w, b = rng.normal(0, 1.0 / np.sqrt(SIZE), (SIZE, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
+    w, b = rng.normal(0, 1 / (WIDTH * np.sqrt(SIZE)), (SIZE, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
     none = np.empty(0)
     if not got["n"]:
         return Model(np.zeros(SIZE), np.ones(SIZE), w, b, np.zeros(FEATURES + 1), none, none)
