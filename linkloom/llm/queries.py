@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import mixing, quality_classifier, quality_rules, secret_scan, simhash
+from linkloom.llm import html_text, mixing, quality_classifier, quality_rules, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +38,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_secret_scan, op6_quality_classifier, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_secret_scan, op6_quality_classifier, op9_simhash, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
