@@ -183,7 +183,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     stats = shared_table(table_of_statistics(docs, id_col, text_col), "quality-stats")
     model = fit(stats, labels, id_col=id_col, label_col=label_col, held_out=held_out, most_rows=most_rows)
     scored = score(stats, model)
-    return scored.select("doc_id", (fold() == held_out).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2, accept: float = ACCEPT, most_rows: int = MOST_ROWS) -> DataFrame:
