@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import html_text, langid, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from linkloom.llm import html_text, langid, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"), stable=True)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_secret_scan, op6_quality_classifier, op8_langid, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_secret_scan, op6_quality_classifier, op7_lm_score, op8_langid, op9_simhash, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
