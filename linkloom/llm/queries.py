@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import html_text, langid, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash
+from linkloom.llm import html_text, langid, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
+from linkloom.llm.common import shared_folder
+
+#: Folder of the public vocabularies.
+TOKENIZERS = os.environ.get("LINKLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +31,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one insert batch, committed twice: the second commit changes nothing."""
+    tokenizer = token_counts.Tokenizer.read(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}")
+    rows = token_counts.counted(_table(spark, sf_dir, "documents"), tokenizer)
+    for _ in range(2):
+        rollup.commit("load", rows)
+    return rollup.totals()
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -46,6 +63,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_secret_scan, op6_quality_classifier, op7_lm_score, op8_langid, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_secret_scan, op5_token_counts, op6_quality_classifier, op7_lm_score, op8_langid, op9_simhash, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
