@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import html_text, langid, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
+from linkloom.llm import decontam, html_text, langid, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
 from linkloom.llm.common import shared_folder
 
 #: Folder of the public vocabularies.
@@ -23,6 +23,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +67,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_secret_scan, op5_token_counts, op6_quality_classifier, op7_lm_score, op8_langid, op9_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_mix_sources, op4_secret_scan, op5_token_counts, op6_quality_classifier, op7_lm_score, op8_langid, op9_simhash, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
