@@ -7,7 +7,10 @@ lane's count to a word, and a block is abandoned as soon as all its lanes exceed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
@@ -68,6 +71,23 @@ def to_planes(fps: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(lanes.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
+def query_masks(fps: np.ndarray, bits: int) -> np.ndarray:
+    """bits x queries: all ones where the query's bit is set."""
+    return np.where(np.unpackbits(fps.reshape(len(fps), -1).view(np.uint8), axis=1, bitorder="little")[:, :bits].T.astype(bool), FULL, np.uint64(0))
+
+
+def word_blocks(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Planes of many blocks of at most `most` rows, a word each, and the lanes that are filled."""
+    lane = np.arange(most)
+    real = lane < sizes[:, None]
+    row = np.where(real, begins[:, None] + lane, begins[:, None])
+    of = np.zeros((len(begins), 64, fps.shape[1]), np.uint64)
+    of[:, :most] = fps[row]
+    bit = np.unpackbits(of.view(np.uint8).reshape(len(begins), 64, -1), axis=2, bitorder="little")[:, :, :bits]
+    planes = np.packbits(bit.transpose(2, 0, 1).copy(), axis=2, bitorder="little").reshape(bits, -1).view(np.uint64)
+    return planes, np.bitwise_or.reduce(np.where(real, ONE << lane.astype(np.uint64), np.uint64(0)), axis=1)
+
+
 def large_block(fps: np.ndarray, bits: int, radius: int) -> np.ndarray:
     """The smallest reachable row of each row: breadth first, each row a query once."""
     n = len(fps)
@@ -75,7 +95,7 @@ def large_block(fps: np.ndarray, bits: int, radius: int) -> np.ndarray:
     wanted = np.zeros(planes.shape[1] * 64, np.uint8)
     wanted[:n] = 1
     root = np.arange(n)
-    masks = np.where(np.unpackbits(fps.reshape(n, -1).view(np.uint8), axis=1, bitorder="little")[:, :bits].T.astype(bool), FULL, np.uint64(0))
+    masks = query_masks(fps, bits)
     for start in range(n):
         if not wanted[start]:
             continue
@@ -100,15 +120,10 @@ def small_blocks(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, bits: i
         for part in np.array_split(own, max(1, len(own) * most // 200_000)):
             if not len(part):
                 continue
+            planes, filled = word_blocks(fps, begins[part], sizes[part], most, bits)
             lane = np.arange(most)
-            row = begins[part][:, None] + lane
             real = lane < sizes[part][:, None]
-            row = np.where(real, row, begins[part][:, None])
-            of = np.zeros((len(part), 64, fps.shape[1] if fps.ndim > 1 else 1), np.uint64)
-            of[:, :most] = fps[row].reshape(len(part), most, -1)
-            bit = np.unpackbits(of.view(np.uint8).reshape(len(part), 64, -1), axis=2, bitorder="little")[:, :, :bits]
-            planes = np.packbits(bit.transpose(2, 0, 1).copy(), axis=2, bitorder="little").reshape(bits, -1).view(np.uint64)
-            filled = np.bitwise_or.reduce(np.where(real, ONE << lane.astype(np.uint64), np.uint64(0)), axis=1)
+            row = begins[part][:, None] + lane
             reach = np.stack([near_own_word(planes, k, radius) & filled for k in range(most)])
             for k in range(most):  # closure: what k reaches, all who reach k reach
                 through = np.uint64(0) - (reach >> np.uint64(k) & ONE)
@@ -131,3 +146,27 @@ def roots(key: np.ndarray, fps: np.ndarray, bits: int, radius: int) -> np.ndarra
     for a, n in zip(edge[~small], sizes[~small], strict=True):
         root[a : a + n] = a + large_block(fps[a : a + n], bits, radius)
     return root
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From batches of (key, node, fingerprint words) sorted by key: arrays that hold whole blocks."""
+    kept: list[tuple] = []
+    join = lambda: tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        key, node, fps = cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64)
+        if kept and kept[-1][0][-1] != key[0]:
+            yield join()
+            kept = []
+        change = np.flatnonzero(key[1:] != key[:-1])
+        if not len(change):
+            kept.append((key, node, fps))
+            continue
+        cut = change[-1] + 1  # the last block of the batch may go on
+        kept.append((key[:cut], node[:cut], fps[:cut]))
+        yield join()
+        kept = [(key[cut:], node[cut:], fps[cut:])]
+    if kept:
+        yield join()

@@ -89,25 +89,8 @@ def link_blocks(blocks: DataFrame, keys: list[str], fp_cols: list[str], radius:
         return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-            key, node, fps = cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64)
-            change = np.flatnonzero(key[1:] != key[:-1])
-            if kept and kept[-1][0][-1] != key[0]:
-                yield solve(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-                kept = []
-            if not len(change):
-                kept.append((key, node, fps))
-                continue
-            cut = change[-1] + 1  # the last block of the batch may go on
-            kept.append((key[:cut], node[:cut], fps[:cut]))
-            yield solve(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-            kept = [(key[cut:], node[cut:], fps[cut:])]
-        if kept:
-            yield solve(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+        for whole in bitslice.whole_blocks(batches):
+            yield solve(*whole)
 
     one = F.xxhash64(*keys).alias("key") if len(keys) > 1 else F.col(keys[0]).alias("key")
     rows = blocks.select(one, "node", *fp_cols)
