@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from linkloom.plans import catalog_graph
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+ORACLE_SQL: dict[str, str] = {}
+for _part in (catalog_graph,):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.SQL
+FLAGSHIP = "related_notes"

@@ -124,8 +124,8 @@ def note_links(docs: DataFrame, notes_total: int) -> DataFrame:
     """src, dst: the ring-and-hub graph over note numbers: +1, +97 and a hub a note."""
     hubs = max(1, notes_total // 64)
     no = F.col("doc_no")
-    ends = F.array((no + 1) % notes_total, (no + 97) % notes_total, no % hubs)
-    e = docs.select(no.cast("string").alias("src"), F.explode(ends).cast("string").alias("dst"))
+    ends = F.array(*[x.cast("string") for x in ((no + 1) % notes_total, (no + 97) % notes_total, no % hubs)])
+    e = docs.select(no.cast("string").alias("src"), F.explode(ends).alias("dst"))
     return e.filter("src <> dst").distinct()
 
 
