@@ -131,7 +131,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     test = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(5)) == 0
     rows = sample.select(F.col(text_col).alias("text"), pick(langs.index).cast("int").alias("y"), test.alias("test"))
-    rows = shared_table(rows.mapInArrow(vectors, "at array<int>, n array<int>, y int, test boolean").repartition(FIT_PARTS, F.xxhash64("at")), "lang-fit")
+    rows = shared_table(rows.mapInArrow(vectors, "at array<int>, n array<int>, y int, test boolean"), "lang-fit")
 
     seen = rows.filter("not test").select(F.explode("at").alias("at")).groupBy("at").count().toPandas()  # at most BUCKETS rows
     total = rows.filter("not test").count()
@@ -139,12 +139,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     df[seen["at"].to_numpy()] = seen["count"].to_numpy()
     model.idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 0.1, 0.0)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [r for b in batches for r in _rows(b)]
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((len(own), ftrl(own, model).astype(np.float32)))])], ["w"])
+    def train(group: pa.Table) -> pa.Table:
+        own = [r for b in group.select(["at", "n", "y"]).to_batches() for r in _rows(b)]
+        return pa.table({"w": pa.array([pickle.dumps((len(own), ftrl(own, model).astype(np.float32)))])})
 
-    parts = [pickle.loads(r[0]) for r in rows.filter("not test").select("at", "n", "y").repartition(FIT_PARTS, F.xxhash64("at")).mapInArrow(train, "w binary").collect()]  # at most FIT_PARTS rows
+    part = F.pmod(F.xxhash64("at", "y"), F.lit(FIT_PARTS)).alias("part")
+    parts = [pickle.loads(r[0]) for r in rows.filter("not test").select("at", "n", "y", part).groupBy("part").applyInArrow(train, "w binary").collect()]  # at most FIT_PARTS rows
     if not parts:
         return Model([], model.idf, model.weights)
     model.weights = sum(n * w for n, w in parts).astype(np.float64) / sum(n for n, _ in parts)
