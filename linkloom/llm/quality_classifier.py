@@ -6,7 +6,7 @@
    hash of the id (a documented bound on the fit; every document is scored). Three quarters fit the
    ridge weights, one quarter the calibration.
 3. Features cos(W x + b), with seeded W, approximate a Gaussian kernel over standardised statistics.
-   Each of `FIT_PARTS` partitions sums Z'Z and Z'y; only those sums reach the driver.
+   Each of `FIT_PARTS` parts sums Z'Z and Z'y; only those sums reach the driver.
 4. Raw scores of the calibration part, counted per thousandth, are pooled to a rising curve.
 5. Scoring is a pass over the statistics with no shuffle.
 
@@ -133,8 +133,8 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
     known = known.filter(fold() != held_out)
     share = min(1.0, most_rows / max(1, known.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = stats.join(known.filter(place < int(share * (1 << 30))), "doc_id").repartition(FIT_PARTS, "doc_id")
-    rows = shared_table(rows.select("x", "y", (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(4)) == 0).alias("calibrate")), "quality-fit")
+    rows = stats.join(known.filter(place < int(share * (1 << 30))), "doc_id")
+    rows = shared_table(rows.select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FIT_PARTS)).alias("part"), (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(4)) == 0).alias("calibrate")), "quality-fit")
 
     one = rows.select(*[F.col("x")[i].cast("double").alias(f"s{i}") for i in range(SIZE)])
     got = one.agg(F.count("*").alias("n"), *[f(f"s{i}").alias(f"{f.__name__}{i}") for i in range(SIZE) for f in (F.avg, F.stddev_pop)]).first()
@@ -146,14 +146,16 @@ def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_co
     mean, scale = (np.array([got[f"{f}{i}"] for i in range(SIZE)]) for f in ("avg", "stddev_pop"))
     model = Model(mean, np.where(scale > 1e-9, scale, 1), w, b, np.zeros(FEATURES + 1), none, none)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(group: pa.Table) -> pa.Table:
         zz, zy = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-        for batch in batches:
+        for batch in group.select(["x", "y"]).to_batches():
             z, y = model.features(_matrix(batch.column(0))), np.asarray(batch.column(1), dtype=np.float64)
             zz, zy = zz + z.T @ z, zy + z.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((zz, zy))])], ["sums"])
+        return pa.table({"sums": pa.array([pickle.dumps((zz, zy))])})
 
-    parts = [pickle.loads(r[0]) for r in rows.filter("not calibrate").select("x", "y").mapInArrow(sums, "sums binary").collect()]  # at most FIT_PARTS rows
+    parts = [pickle.loads(r[0]) for r in rows.filter("not calibrate").select("x", "y", "part").groupBy("part").applyInArrow(sums, "sums binary").collect()]  # at most FIT_PARTS rows
+    if not parts:
+        return model
     zz, zy = sum(p[0] for p in parts), sum(p[1] for p in parts)
     model.weights = np.linalg.solve(zz + RIDGE * max(1.0, zz[-1, -1]) / FEATURES * np.eye(FEATURES + 1), zy)
 
