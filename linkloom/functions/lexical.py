@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO, ONE = F.lit(0.0), F.lit(1.0)
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -47,7 +46,7 @@ def occurrences(text: Column, part: str) -> Column:
 def coverage(text: Column, query: list[str]) -> Column:
     """Share of the query's tokens that occur as substrings."""
     if not query:
-        return ZERO
+        return F.lit(0.0)
     return sum((F.when(has(text, t), 1).otherwise(0) for t in query), F.lit(0)) / F.lit(float(len(query)))
 
 
@@ -55,7 +54,7 @@ def document_score(query: str) -> Column:
     """Full-text score of a note from id, stem, path, title, tags, search_text."""
     q, words = query.strip().lower(), tokenize(query)
     if not q:
-        return ZERO
+        return F.lit(0.0)
     i, s, p, t, text = (F.lower(c) for c in ("id", "stem", "path", "title", "search_text"))
     tags = F.transform("tags", lambda x: F.lower(x))
     score = F.greatest(
@@ -91,7 +90,7 @@ def regex_score(pattern: str) -> Column:
 def path_score(query: str) -> Column:
     q, words = query.strip().lower(), tokenize(query)
     if not q:
-        return ZERO
+        return F.lit(0.0)
     i, s, p, t = (F.lower(c) for c in ("id", "stem", "path", "title"))
     r = coverage(F.concat_ws(" ", p, i, s, t), words)
     return clamp(F.greatest(
@@ -105,7 +104,7 @@ def section_score(query: str) -> Column:
     """Score of a section from heading_title, heading_level, section_text."""
     q, words = query.strip().lower(), tokenize(query)
     if not q:
-        return ONE
+        return F.lit(1.0)
     h, body = F.lower("heading_title"), F.lower("section_text")
     base = F.when(h == q, 1.0).when(has(h, q), 0.92).when(has(body, q), 0.72).otherwise(0.0)
     by_token = 0.75 * coverage(h, words) + 0.40 * coverage(body, words)
@@ -144,7 +143,7 @@ def attachment_score(query: str) -> Column:
     """Half the name, three tenths the path, two tenths the share of tokens."""
     q, words = query.strip().lower(), tokenize(query)
     if not q:
-        return ONE
+        return F.lit(1.0)
     name, path = F.lower("attachment_name"), F.lower("attachment_path")
     return 0.5 * (name == q).cast("double") + 0.3 * has(path, q).cast("double") + 0.2 * coverage(F.concat_ws(" ", path, name, F.lower("source_path")), words)
 

@@ -23,7 +23,7 @@ from (select *, list_filter(string_split_regex(line, '[ \t\r]+'), lambda t: t <>
 CHUNKS = f"""chunks as (select source as repo_id, 'src/doc' || doc_id || '.txt' as path, lang as language, ord + 1 as line_number, trim(line, ' ') as line_text, {FOLD.format("trim(line, ' ')")} as line_text_folded from {LINES} where trim(line, ' ') <> '')"""
 SYMBOLS = f"""symbols as (select 'sym:' || p_partkey as id, p_name as name, {FOLD.format('p_name')} as name_folded, case when p_partkey % 2 = 0 then 'rust' else 'python' end as language,
 case when p_size > 25 then 'function' else 'struct' end as kind, p_type as signature, p_brand as owner_title, 'lib/' || p_brand || '/' || p_partkey || '.rs' as path, p_size as line_start from part)"""
-TIER = f"""case when name_folded = 'steel' then 1.0 when starts_with(name_folded, 'steel') then 0.97 when contains(name_folded, 'steel') then 0.93 when contains({FOLD.format('signature')}, 'steel') then 0.86 when contains({FOLD.format('owner_title')}, 'steel') then 0.81 else 0.0 end"""
+TIER = f"""case when name_folded = 'steel' then 1.0 when starts_with(name_folded, 'steel') then 0.97 when contains(name_folded, 'steel') then 0.93 when contains({FOLD.format('signature')}, 'steel') then 0.86 when contains({FOLD.format('owner_title')}, 'steel') then 0.81 else 0.0 end::double"""
 
 
 def query(sql: str):
@@ -42,7 +42,7 @@ def tier_sql(q: str) -> str:
 @query(f"""with {NOTES}, {SECTIONS}, rows_ as (
 select path || ':_doc' as id, path, stem, title, null as best_section, concat_ws(' ', title, stem, doc_type, array_to_string(tags, ' '), search_text) as search_text from notes
 union all select n.path || ':' || s.ord, n.path, n.stem, n.title, s.heading_title, s.section_text from sections s join notes n on n.id = s.doc_id),
-h as (select *, case when title = 'the' then 1.0 when contains({FOLD.format('title')}, 'the') then 0.95 when contains({FOLD.format("coalesce(best_section, '')")}, 'the') then 0.9 when contains({FOLD.format('stem')}, 'the') then 0.88 when contains({FOLD.format('search_text')}, 'the') then 0.82 else 0.0 end as score from rows_),
+h as (select *, case when title = 'the' then 1.0 when contains({FOLD.format('title')}, 'the') then 0.95 when contains({FOLD.format("coalesce(best_section, '')")}, 'the') then 0.9 when contains({FOLD.format('stem')}, 'the') then 0.88 when contains({FOLD.format('search_text')}, 'the') then 0.82 else 0.0 end::double as score from rows_),
 b as (select *, row_number() over (partition by path order by score desc, id) as nth from h where score > 0)
 select id, path, stem, title, best_section, score from b where nth = 1 order by score desc, path, stem limit 50""")
 def search_knowledge_sections(spark, sf):
@@ -67,12 +67,12 @@ def autocomplete_symbols(spark, sf):
 
 @query(f"""with {CHUNKS}, r as (select path, line_number as line, line_text, unnest(regexp_extract_all(line_text, '[A-Za-z_][A-Za-z0-9_]*')) as name, unnest(range(0, len(regexp_extract_all(line_text, '[A-Za-z_][A-Za-z0-9_]*')))) as nth from chunks),
 f as (select path, line, lower(name) as name_folded, arg_min(name, nth) as name, any_value(line_text) as line_text from r group by 1, 2, 3)
-select name_folded, path, line, strpos(line_text, name) as "column", case when contains(line_text, 'that') then 0.9 when contains({FOLD.format('line_text')}, 'that') then 0.82 else 0.7 end as score from f where name_folded = 'that' order by score desc, path, line, "column" limit 40""")
+select name_folded, path, line, strpos(line_text, name) as "column", case when contains(line_text, 'that') then 0.9 when contains({FOLD.format('line_text')}, 'that') then 0.82 else 0.7 end::double as score from f where name_folded = 'that' order by score desc, path, line, "column" limit 40""")
 def search_reference_occurrences(spark, sf):
     return C.search_references(C.reference_occurrences(T.content_chunks(spark, sf)), "that", 40)
 
 
-@query(f"""with {CHUNKS}, h as (select path, line_number, line_text, case when contains(line_text, 'The') then 0.73 when contains(line_text_folded, 'the') then 0.72 else 0.0 end as score from chunks where language in ('en', 'de')),
+@query(f"""with {CHUNKS}, h as (select path, line_number, line_text, case when contains(line_text, 'The') then 0.73 when contains(line_text_folded, 'the') then 0.72 else 0.0 end::double as score from chunks where language in ('en', 'de')),
 b as (select *, row_number() over (partition by path order by score desc, line_number) as nth from h where score > 0)
 select path, line_number, score, case when length(line_number || ': ' || line_text) > 140 then left(line_number || ': ' || line_text, 140) || '...' else line_number || ': ' || line_text end as snippet from b where nth = 1 order by score desc, path, line_number limit 60""")
 def search_repo_content(spark, sf):

@@ -79,9 +79,9 @@ def degree_rank(spark, sf):
     return G.degree_rank(_note_links(spark, sf), _nodes(spark, sf)).withColumn("rank", F.round("rank", 6))
 
 
-@query(f"""with {EDGES}, v as (select 'p:' || p_partkey as id from part) select id from v where id not in (select src from both_ways)""")
+@query(f"""with {EDGES}, v as (select 'p:' || p_partkey * 2 as id from part) select id from v where id not in (select src from both_ways)""")
 def orphan_nodes(spark, sf):
-    nodes = T.table(spark, sf, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"))
+    nodes = T.table(spark, sf, "part").select(F.concat(F.lit("p:"), (F.col("p_partkey") * 2).cast("string")).alias("id"))
     return G.orphans(nodes, _links(spark, sf))
 
 
