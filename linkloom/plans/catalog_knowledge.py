@@ -167,7 +167,7 @@ def promoted_overlay(spark, sf):
 
 def touches(spark, sf):
     e = T.table(spark, sf, "events")
-    return e.select(F.col("user_id").cast("string").alias("node_id"), F.unix_timestamp("ts").alias("at"), F.lit(1).cast("long").alias("delta"))
+    return e.select(F.col("user_id").cast("string").alias("node_id"), T.epoch(F.col("ts")).alias("at"), F.lit(1).cast("long").alias("delta"))
 
 
 FOLD = """with recursive t as (select cast(user_id as varchar) as node_id, cast(floor(epoch(ts)) as bigint) as sec, count(*) as delta from events group by 1, 2), o as (select *, row_number() over (partition by node_id order by sec) as k from t),

@@ -21,6 +21,11 @@ def fold_ascii(c):
     return F.translate(c, UPPER, LOWER)
 
 
+def epoch(ts):
+    """Whole seconds since 1970 of a timestamp without a zone, whatever the session's zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, stem, path, title, tags, lead, doc_type, word_count, search_text, created_ts, modified_ts."""
     d = table(spark, sf_dir, "documents")
