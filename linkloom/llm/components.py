@@ -34,8 +34,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): every node with a link to another node, and the smallest node it reaches.
-    Links to itself and with a null end count for nothing; an empty table gives no rows."""
+    """(node, root): every node that reaches a smaller one, and the smallest it reaches; a node without a
+    row is its own root. Links to itself and with a null end count for nothing; an empty table gives no rows."""
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} is not null and {b} is not null and u > v").distinct()
     links = shared_table(links, "links")
     mark = None

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import decontam, html_text, langid, lm_score, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
+from linkloom.llm import decontam, html_text, langid, lm_score, mixing, oracle, quality_classifier, quality_rules, secret_scan, simhash, token_counts
 from linkloom.llm.common import shared_folder
 
 #: Folder of the public vocabularies.
@@ -69,4 +69,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_decontaminate, op3_mix_sources, op4_secret_scan, op5_token_counts, op6_quality_classifier, op7_lm_score, op8_langid, op9_simhash, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can state the rows; the other operators are tested against brute force.
+ORACLE_SQL: dict[str, str] = oracle.SQL
