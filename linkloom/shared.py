@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -12,6 +13,16 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they see that folder; a
+    cluster that doesn't share it installs the package or gets it by `--py-files`."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; a temporary one only where none is set (local tests)."""
     sc = spark.sparkContext
