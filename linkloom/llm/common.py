@@ -1,62 +1,8 @@
-"""Helpers shared by the training-data operators: shared-folder tables and skew-safe lookups."""
+"""What the training-data operators share: the word rule, and the package's tables and salts."""
 
-from __future__ import annotations
+from linkloom.shared import SALTS, drop_shared, salt_mask, salt_of, salts_in, shared_folder, shared_table
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["SALTS", "WORD", "drop_shared", "salt_mask", "salt_of", "salts_in", "shared_folder", "shared_table"]
 
 #: A word is a maximal run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Salts a lookup key can be spread over; one bit each in a LONG mask.
-SALTS = 64
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only where none is set (local tests)."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if found is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkloom-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: lineage ends there, and a
-    lost executor costs only the tasks it was running."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(df: DataFrame) -> None:
-    """Delete the files behind a frame made by `shared_table` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/part-" not in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def salt_of(*cols: str) -> Column:
-    """A row's salt, 0 to 63, from columns that differ between the rows of a hot key."""
-    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int")
-
-
-def salt_mask(salt: Column) -> Column:
-    """Aggregate: the set of salts that a key's rows use, as a bit mask."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
-
-
-def salts_in(mask: Column) -> Column:
-    """The salts of a mask, as an array: one element for a key with one row, 64 at most."""
-    return F.filter(
-        F.sequence(F.lit(0), F.lit(SALTS - 1)),
-        lambda i: F.call_function("getbit", mask, i) == 1,
-    )
