@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from linkloom.shared import shared_table
 
+#: Rounds of a walk between two written tables.
+CUT = 3
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every link, once, without links to itself."""
@@ -33,7 +36,7 @@ def distances(edges: DataFrame, seeds: DataFrame, direction: str = "both", most:
     front = seen
     for d in range(1, most + 1):
         new = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(d))
-        if d < most:
+        if 1 < d < most:
             new = shared_table(new, "frontier")
         seen, front = seen.unionByName(new), new
     return seen
@@ -103,19 +106,20 @@ def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 3
     links = shared_table(step.join(size, "src"), "ppr-links")
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
     start = shared_table(seeds.groupBy("id").agg((F.sum("weight") / F.lit(float(total))).alias("restart")), "ppr-seeds")
-    rank = start.select("id", F.col("restart").alias("score"))
-    ids = links.select(F.col("src").alias("id")).distinct()
-    for k in range(rounds):
+    # Only seeds can lack links, and all of their mass goes back to the seeds: one number follows it.
+    lone = start.join(links.select(F.col("src").alias("id")), "id", "left_anti").agg(F.sum("restart")).first()[0] or 0.0
+    rank, stuck = start.select("id", F.col("restart").alias("score")), lone
+    for k in range(1, rounds + 1):
         moved = rank.join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("walk"))
-        stuck = rank.join(ids, "id", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("stuck"))
-        new = moved.join(start, "id", "full").join(F.broadcast(stuck)).select(  # stuck is one row
-            "id", ((1 - alpha) * F.coalesce("restart", F.lit(0.0)) + alpha * (F.coalesce("walk", F.lit(0.0)) + F.col("stuck") * F.coalesce("restart", F.lit(0.0)))).alias("score")
-        )
-        new = shared_table(new, "ppr-rank")
-        if tolerance:
-            change = new.withColumnRenamed("score", "now").join(rank, "id", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
-            if change is not None and change < tolerance:
-                return new
+        new = moved.join(start, "id", "full").select("id", ((1 - alpha + alpha * stuck) * F.coalesce("restart", F.lit(0.0)) + alpha * F.coalesce("walk", F.lit(0.0))).alias("score"))
+        stuck = lone * (1 - alpha + alpha * stuck)
+        if k % CUT == 0 or k == rounds:  # each round reads the last one once, so a few make one plan
+            new = shared_table(new, "ppr-rank")
+            if tolerance and k > CUT:
+                change = new.withColumnRenamed("score", "now").join(held, "id", "full").agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
+                if change is not None and change < tolerance:
+                    return new
+            held = new
         rank = new
     return rank
 
@@ -134,9 +138,11 @@ def hybrid_ppr(edges: DataFrame, prior: DataFrame, alpha: float = 0.15, rounds:
     links = shared_table(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")), "hybrid-links")
     home = prior.select("id", F.least(F.lit(1.0), F.col("prior")).alias("home"))
     rank = home.select("id", F.col("home").alias("score"))
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
         into = rank.join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("inflow"))
-        rank = shared_table(home.join(into, "id", "full").select("id", ((1 - alpha) * F.coalesce("inflow", F.lit(0.0)) + alpha * F.coalesce("home", F.lit(0.0))).alias("score")), "hybrid-rank")
+        rank = home.join(into, "id", "full").select("id", ((1 - alpha) * F.coalesce("inflow", F.lit(0.0)) + alpha * F.coalesce("home", F.lit(0.0))).alias("score"))
+        if k % CUT == 0 or k == rounds:
+            rank = shared_table(rank, "hybrid-rank")
     return rank
 
 
