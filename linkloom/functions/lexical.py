@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,13 +50,24 @@ def coverage(text: Column, query: list[str]) -> Column:
     return sum((F.when(has(text, t), 1).otherwise(0) for t in query), F.lit(0)) / F.lit(float(len(query)))
 
 
+#: Columns that `folded` adds, each computed once a row however many scores read it.
+FOLDED = ("id", "stem", "path", "title", "search_text")
+
+
+def folded(notes: DataFrame) -> DataFrame:
+    """`notes` with lower-case copies of what the scores read, and the two texts that tokens are looked up in."""
+    notes = notes.withColumns({f"low_{c}": F.lower(c) for c in FOLDED} | {"low_tags": F.transform("tags", lambda x: F.lower(x))})
+    whole = F.concat_ws(" ", "low_id", "low_stem", "low_path", "low_title", F.array_join("low_tags", " "), "low_search_text")
+    return notes.withColumns({"low_blob": whole, "low_names": F.concat_ws(" ", "low_path", "low_id", "low_stem", "low_title")})
+
+
 def document_score(query: str) -> Column:
-    """Full-text score of a note from id, stem, path, title, tags, search_text."""
+    """Full-text score of a note with `folded` columns."""
     q, words = query.strip().lower(), tokenize(query)
     if not q:
         return F.lit(0.0)
-    i, s, p, t, text = (F.lower(c) for c in ("id", "stem", "path", "title", "search_text"))
-    tags = F.transform("tags", lambda x: F.lower(x))
+    i, s, p, t, text = (F.col(f"low_{c}") for c in FOLDED)
+    tags = F.col("low_tags")
     score = F.greatest(
         F.when((i == q) | (s == q), 1.0).otherwise(0.0),
         F.when(t == q, 0.95).otherwise(0.0),
@@ -68,16 +79,15 @@ def document_score(query: str) -> Column:
         hits = 2 * (has(i, q) | has(s, q) | has(p, q)).cast("int") + 3 * has(t, q).cast("int") + 2 * F.exists(tags, lambda x: F.contains(x, F.lit(q))).cast("int") + F.least(occ, F.lit(6))
         density = clamp(occ * len(words) / F.greatest(F.col("word_count"), F.lit(1)), 0.0, 0.08)
         score = F.greatest(score, F.when(hits > 0, F.least(F.lit(0.97), 0.70 + F.least(hits, F.lit(8)) * 0.03 + density)).otherwise(0.0))
-    blob = F.concat_ws(" ", i, s, p, t, F.array_join(tags, " "), text)
-    r = coverage(blob, words)
+    r = coverage(F.col("low_blob"), words)
     covered = (0.33 + 0.42 * r) if len(words) >= 2 else (0.45 + 0.45 * r)
     return clamp(F.greatest(score, F.when(r > 0, covered).otherwise(0.0)))
 
 
 def exact_score(query: str) -> Column:
     q = query.strip().lower()
-    i, s, p, t, text = (F.lower(c) for c in ("id", "stem", "path", "title", "search_text"))
-    tags = F.transform("tags", lambda x: F.lower(x))
+    i, s, p, t, text = (F.col(f"low_{c}") for c in FOLDED)
+    tags = F.col("low_tags")
     return F.when((i == q) | (s == q), 1.0).when(t == q, 0.95).when(F.array_contains(tags, q), 0.85).when(has(p, q), 0.8).when(has(text, q), 0.75).otherwise(0.0)
 
 
@@ -91,8 +101,8 @@ def path_score(query: str) -> Column:
     q, words = query.strip().lower(), tokenize(query)
     if not q:
         return F.lit(0.0)
-    i, s, p, t = (F.lower(c) for c in ("id", "stem", "path", "title"))
-    r = coverage(F.concat_ws(" ", p, i, s, t), words)
+    i, s, p, t = (F.col(f"low_{c}") for c in FOLDED[:4])
+    r = coverage(F.col("low_names"), words)
     return clamp(F.greatest(
         F.when((p == q) | (i == q) | (s == q), 1.0).when(t == q, 0.95).otherwise(0.0),
         F.when(has(p, q) | has(i, q) | has(s, q) | has(t, q), 0.82).otherwise(0.0),

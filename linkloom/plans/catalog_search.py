@@ -155,6 +155,6 @@ def table_of_contents(spark, sf):
 
 @query(f"with {NOTES}, {LOW}, h as (select {fts_sql('the', ['the'])} as s from blobs) select count(*) as hits, round(0.45 * least(1.0, count(*) / 2.0) + 0.35 * max(s) + 0.2 * least(1.0, max(s) / 0.25), 6)::double as confidence from h where s > 0")
 def graph_confidence(spark, sf):
-    h = T.notes(spark, sf).select(L.document_score("the").alias("s")).filter("s > 0").agg(F.count("*").alias("hits"), F.max("s").alias("top"))
+    h = L.folded(T.notes(spark, sf)).select(L.document_score("the").alias("s")).filter("s > 0").agg(F.count("*").alias("hits"), F.max("s").alias("top"))
     c = 0.45 * F.least(F.lit(1.0), F.col("hits") / 2) + 0.35 * F.col("top") + 0.2 * F.least(F.lit(1.0), F.col("top") / 0.25)
     return h.select("hits", F.round(c, 6).alias("confidence"))

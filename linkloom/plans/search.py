@@ -119,26 +119,38 @@ def ranked_sections(sections: DataFrame, query: str, o: Options) -> DataFrame:
     return s.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap)
 
 
-def score_notes(notes: DataFrame, best: DataFrame, query: str, o: Options) -> DataFrame:
-    """`notes` with score and match_reason; best (doc_id, section_score, rest) are its sections."""
+NARROW = ("id", "stem", "path", "title", "word_count", "created_ts", "modified_ts")
+
+
+def text_scores(notes: DataFrame, query: str, o: Options) -> DataFrame:
+    """The notes' narrow columns with `own` and `by_path`: what needs their texts, so that no join carries one."""
+    keep = [c for c in NARROW if c in notes.columns]
     if not query.strip():
-        return notes.withColumns({"score": F.lit(1.0), "match_reason": F.lit("no_query")})
-    met = notes.join(best, F.col("id") == F.col("doc_id"), "left").drop("doc_id")
-    sec = F.coalesce("section_score", F.lit(0.0))
-    if o.strategy == "exact":
-        score = L.exact_score(query)
-    elif o.strategy == "re":
+        return notes.select(*keep, F.lit(1.0).alias("own"), F.lit(0.0).alias("by_path"))
+    if o.strategy == "re":
         try:
             re.compile(query)
         except re.error:
-            return notes.limit(0).withColumns({"score": F.lit(0.0), "match_reason": F.lit("re")})
-        score = L.regex_score(query)
+            return notes.limit(0).select(*keep, F.lit(0.0).alias("own"), F.lit(0.0).alias("by_path"))
+        own = L.regex_score(query)
+    else:
+        own = {"exact": L.exact_score, "path_fuzzy": L.path_score}.get(o.strategy, L.document_score)(query)
+    by_path = L.path_score(query) if o.strategy == "fts" else F.lit(0.0)
+    return L.folded(notes).select(*keep, own.alias("own"), by_path.alias("by_path"))
+
+
+def score_notes(notes: DataFrame, best: DataFrame, query: str, o: Options) -> DataFrame:
+    """`text_scores` rows with score and match_reason; best (doc_id, section_score, rest) are their sections."""
+    if not query.strip():
+        return notes.withColumns({"score": F.col("own"), "match_reason": F.lit("no_query")})
+    met = notes.join(best, F.col("id") == F.col("doc_id"), "left").drop("doc_id")
+    own, sec = F.col("own"), F.coalesce("section_score", F.lit(0.0))
+    if o.strategy in ("exact", "re"):
+        score = own
     elif o.strategy == "path_fuzzy":
-        base = L.path_score(query)
-        score = F.greatest(base, PATH_FUZZY[0] * base + PATH_FUZZY[1] * sec)
+        score = F.greatest(own, PATH_FUZZY[0] * own + PATH_FUZZY[1] * sec)
     else:
-        lex = L.document_score(query)
-        score = F.greatest(lex, FTS[0] * lex + FTS[1] * sec + FTS[2] * L.path_score(query))
+        score = F.greatest(own, FTS[0] * own + FTS[1] * sec + FTS[2] * F.col("by_path"))
     if (o.scope or "doc") == "mixed" and o.collapse_to_doc is not False:
         score = F.greatest(score, L.clamp(sec + SECTION_BETA * F.coalesce("rest", F.lit(0.0))))
     return met.withColumns({"score": L.clamp(score), "match_reason": F.lit(o.strategy)})
@@ -157,7 +169,7 @@ def search(g: Graph, line: str | Parsed, limit: int = 20, base: Options = Option
         notes = notes.filter((F.size("tags") == 0) == F.lit(o.tagless))
     if o.mentions_of:
         notes = notes.filter(L.any_of([L.has(F.lower("search_text"), m.lower()) for m in o.mentions_of if m.strip()]))
-    notes = graph_candidates(g, notes, o)
+    notes = graph_candidates(g, text_scores(notes, p.query, o), o)
     top = ranked_sections(g.sections, p.query, o)
     best = top.groupBy("doc_id").agg(F.max("section_score").alias("section_score"), (F.sum("section_score") - F.max("section_score")).alias("rest"), F.min_by("heading_title", "place").alias("best_section"))
     hit = score_notes(notes, best, p.query, o).filter("score > 0")
