@@ -105,13 +105,30 @@ def tree_distance(a: Column, b: Column) -> Column:
     return F.when((a != "") & (b != ""), F.size(x) + F.size(y) - 2 * same)
 
 
+def _cap(o: Options) -> int:
+    return o.per_doc_section_cap or (3 if o.scope in ("section", "mixed") else 1)
+
+
+def scored_sections(sections: DataFrame, query: str, o: Options) -> DataFrame:
+    """Narrow section rows with a score above 0, after level and word rules."""
+    words = o.min_section_words if o.min_section_words is not None else (24 if o.scope in ("section", "mixed") else 0)
+    s = sections.filter((F.col("heading_level") <= (o.max_heading_level or 6)) & (F.col("words") >= words))
+    return s.select("doc_id", "ord", "heading_title", "heading_path", L.section_score(query).alias("section_score")).filter("section_score > 0")
+
+
+def best_sections(sections: DataFrame, query: str, o: Options) -> DataFrame:
+    """(doc_id, section_score, rest, best_section): a note's best section and the sum of its other capped ones.
+    One section a note is a plain aggregate, combined before the shuffle; more need their places."""
+    if _cap(o) == 1 and o.max_tree_hops is None:
+        order = F.struct(-F.col("section_score"), "heading_path", "ord")
+        return scored_sections(sections, query, o).groupBy("doc_id").agg(F.max("section_score").alias("section_score"), F.lit(0.0).alias("rest"), F.min_by("heading_title", order).alias("best_section"))
+    top = ranked_sections(sections, query, o)
+    return top.groupBy("doc_id").agg(F.max("section_score").alias("section_score"), (F.sum("section_score") - F.max("section_score")).alias("rest"), F.min_by("heading_title", "place").alias("best_section"))
+
+
 def ranked_sections(sections: DataFrame, query: str, o: Options) -> DataFrame:
     """Sections with their score and place in the note, after level, word, tree and cap rules."""
-    scope = o.scope or "doc"
-    cap = o.per_doc_section_cap or (3 if scope in ("section", "mixed") else 1)
-    words = o.min_section_words if o.min_section_words is not None else (24 if scope in ("section", "mixed") else 0)
-    s = sections.filter((F.col("heading_level") <= (o.max_heading_level or 6)) & (F.col("words") >= words))
-    s = s.withColumn("section_score", L.section_score(query)).filter("section_score > 0")
+    s, cap = scored_sections(sections, query, o), _cap(o)
     w = Window.partitionBy("doc_id").orderBy(F.desc("section_score"), "heading_path", "ord")
     if o.max_tree_hops is not None:
         best = F.first("heading_path").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -170,8 +187,7 @@ def search(g: Graph, line: str | Parsed, limit: int = 20, base: Options = Option
     if o.mentions_of:
         notes = notes.filter(L.any_of([L.has(F.lower("search_text"), m.lower()) for m in o.mentions_of if m.strip()]))
     notes = graph_candidates(g, text_scores(notes, p.query, o), o)
-    top = ranked_sections(g.sections, p.query, o)
-    best = top.groupBy("doc_id").agg(F.max("section_score").alias("section_score"), (F.sum("section_score") - F.max("section_score")).alias("rest"), F.min_by("heading_title", "place").alias("best_section"))
+    best = best_sections(g.sections, p.query, o)
     hit = score_notes(notes, best, p.query, o).filter("score > 0")
     if "best_section" not in hit.columns:
         hit = hit.withColumn("best_section", F.lit(None).cast("string"))
