@@ -194,3 +194,22 @@ def test_pipeline(spark, sf):
     last = c.STAGES[-1][1](spark, d, sf)
     assert {r.doc_id for r in last.collect()} <= kept
     assert set(c.run(spark, sf).columns) == set(last.columns)
+
+
+def test_null_ids(spark, sf):
+    """A row without an id is a row like any other, and its result has no id."""
+    from linkloom.llm import html_text, langid, lm_score, quality_classifier, quality_rules, secret_scan
+
+    texts = ["some words here and there " * 10] * 3 + ["other words of another kind"]
+    d = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
+    labels = spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int")
+    for got in (
+        mixing.mix_sources(d), secret_scan.digest(secret_scan.scan_secrets(d)), quality_classifier.classify(d, labels), lm_score.score_documents(d), langid.identify(d), quality_rules.judge(d), simhash.simhash_components(d),
+    ):
+        rows = got.collect()
+        assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 1
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(d).collect()}
+    assert found == {0: 0, 2: 0, None: 0, 3: 3}
+    assert html_text.extract(spark.createDataFrame([(None, None, "<p>x</p>")], "page_id long, url string, html string")).first().text == "x"
+    items = spark.createDataFrame([(None, texts[3] * 3), (5, texts[3])], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(d, items).collect()] == [(3, 5)]
