@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +18,29 @@ def rewrite(base: DataFrame, replaced: DataFrame, changed: DataFrame, key: str =
     return base.join(replaced.select(key).distinct(), key, "left_anti").unionByName(changed)
 
 
-def plan_mutation(old: dict[str, str], new: dict[str, str], revision_same: bool, share: float = 0.5) -> str:
-    """What a publication needs: nothing, a new stamp, a full replacement, or a clone with changes."""
-    if old == new:
-        return "noop" if revision_same else "refresh_publication"
-    if not old:
-        return "replace_all"
-    changed = sum(new.get(k) != v for k, v in old.items()) + sum(k not in old for k in new)
-    return "replace_all" if changed > share * max(len(old), len(new)) else "clone_and_mutate"
-
-
-def versioned_name(repo: str, revision: str, schema: int, marks: dict[str, str]) -> str:
-    body = "|".join([repo, revision, str(schema), *(f"{k}={v}" for k, v in sorted(marks.items()))])
-    return "repo_" + hashlib.sha256(body.encode()).hexdigest()[:24]
+def plan_mutations(current: DataFrame, published: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """What each repository's publication needs, from one row a repository (repo_id, revision), the same of
+    what is published, and the fingerprints (repo_id, path, hash) then and now: `replace_all` without a
+    publication, `clone_and_mutate` if files changed, else `noop` or, at another revision,
+    `refresh_publication`; and how many files changed. All repositories are planned in one pass."""
+    side = lambda df, c: df.select("repo_id", "path", F.struct("hash").alias(c))
+    met = side(before, "_b").join(side(after, "_a"), ["repo_id", "path"], "full")
+    changed = met.groupBy("repo_id").agg(F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("_changed"))
+    out = current.select("repo_id", "revision").join(published.select("repo_id", F.struct("revision").alias("_old")), "repo_id", "left").join(changed, "repo_id", "left")
+    n = F.coalesce("_changed", F.lit(0))
+    same = F.when(F.col("_old.revision").eqNullSafe(F.col("revision")), "noop").otherwise("refresh_publication")
+    action = F.when(F.col("_old").isNull(), "replace_all").when(n > 0, "clone_and_mutate").otherwise(same)
+    return out.select("repo_id", "revision", action.alias("action"), n.alias("changed"))
+
+
+def versioned_names(current: DataFrame, files: DataFrame, schema: int) -> DataFrame:
+    """(repo_id, table_name): names that change with the revision, the schema or any file's fingerprint.
+    Fingerprints are added up, so the order of files is of no matter and a large repository is no one
+    task's work."""
+    h = lambda seed: F.xxhash64(F.lit(seed), "path", "hash")
+    marks = files.groupBy("repo_id").agg(F.count("*").alias("_n"), F.bit_xor(h(1)).alias("_x"), F.sum(h(2).cast("decimal(38,0)")).alias("_s"))
+    body = F.concat_ws("|", "repo_id", F.coalesce("revision", F.lit("")), F.lit(str(schema)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("_n", "_x", "_s")])
+    return current.join(marks, "repo_id", "left").select("repo_id", F.concat(F.lit("repo_"), F.substring(F.sha2(body, 256), 1, 24)).alias("table_name"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:

@@ -14,12 +14,23 @@ def test_rewrite_keeps_null_paths(spark):
     assert sorted((r.path or "", r.n) for r in I.rewrite(base, new, new).collect()) == [("", 2), ("a", 9), ("b", 3)]
 
 
-def test_mutation_plan():
-    assert I.plan_mutation({"a": "1"}, {"a": "1"}, True) == "noop"
-    assert I.plan_mutation({"a": "1"}, {"a": "1"}, False) == "refresh_publication"
-    assert I.plan_mutation({}, {"a": "1"}, True) == "replace_all"
-    assert I.plan_mutation({"a": "1", "b": "1", "c": "1"}, {"a": "2", "b": "1", "c": "1"}, True) == "clone_and_mutate"
-    assert I.versioned_name("r", "v", 1, {"a": "b"}) != I.versioned_name("r", "v", 2, {"a": "b"})
+def test_mutation_plans(spark):
+    repo, file = "repo_id string, revision string", "repo_id string, path string, hash string"
+    current = spark.createDataFrame([("same", "v"), ("moved", "v"), ("new", "v"), ("edited", "v"), ("emptied", None)], repo)
+    published = spark.createDataFrame([("same", "v"), ("moved", "u"), ("edited", "v"), ("emptied", None)], repo)
+    before = spark.createDataFrame([("same", "a", "1"), ("moved", "a", None), ("edited", "a", "1"), ("edited", "b", "1"), ("emptied", "a", None)], file)
+    after = spark.createDataFrame([("same", "a", "1"), ("moved", "a", None), ("new", "a", "1"), ("edited", "a", "2"), ("edited", "c", "1")], file)
+    got = {r.repo_id: (r.action, r.changed) for r in I.plan_mutations(current, published, before, after).collect()}
+    assert got == {"same": ("noop", 0), "moved": ("refresh_publication", 0), "new": ("replace_all", 1), "edited": ("clone_and_mutate", 3), "emptied": ("clone_and_mutate", 1)}
+
+
+def test_versioned_names(spark):
+    current = spark.createDataFrame([("r", "v"), ("s", "v")], "repo_id string, revision string")
+    files = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2")], "repo_id string, path string, hash string")
+    names = lambda f, n: {r[0]: r[1] for r in I.versioned_names(current, f, n).collect()}
+    first = names(files, 1)
+    assert first == names(files.orderBy("hash", ascending=False), 1) and first["r"] != first["s"]
+    assert first["r"] != names(files, 2)["r"] != names(files.filter("path = 'a'"), 2)["r"]
 
 
 def test_epochs(spark, tmp_path):
