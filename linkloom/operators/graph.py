@@ -131,6 +131,34 @@ def related(edges: DataFrame, seeds: DataFrame, most: int = 2, limit: int = 20,
     return near.filter("distance > 0").join(score, "id").orderBy(F.desc("score"), "distance", "id").limit(limit)
 
 
+def related_partitioned(edges: DataFrame, seeds: DataFrame, most: int = 2, limit: int = 20, alpha: float = 0.85, rounds: int = 10) -> DataFrame:
+    """(id, score, distance) without the seeds: PageRank inside each seed's own horizon, restart weights
+    normalised there, and a node's best score over the horizons. All horizons walk in the same plans,
+    keyed by (part, id), so many seeds are no loop and a large horizon is spread over tasks."""
+    step = shared_table(undirected(edges), "part-step")
+    weight = seeds.groupBy("id").agg(F.sum("weight").alias("weight"))
+    near = shared_table(weight.select(F.col("id").alias("part"), "id", F.lit(0).alias("distance")), "part-near")
+    front = near
+    for d in range(1, most + 1):
+        met = front.join(step, F.col("id") == F.col("src")).select("part", F.col("dst").alias("id")).distinct()
+        front = shared_table(met.join(near, ["part", "id"], "left_anti").withColumn("distance", F.lit(d)), "part-front")
+        near = near.unionByName(front)
+    links = step.join(near.select("part", F.col("id").alias("src")), "src").join(near.select("part", F.col("id").alias("dst")), ["part", "dst"])
+    links = links.join(links.groupBy("part", "src").agg(F.count("*").alias("degree")), ["part", "src"])
+    links = shared_table(links.select("part", "src", "dst", "degree"), "part-links")
+    own = near.join(weight, "id").select("part", "id", "weight")
+    start = own.join(own.groupBy("part").agg(F.sum("weight").alias("all")), "part").select("part", "id", (F.col("weight") / F.col("all")).alias("restart"))
+    start = shared_table(start, "part-start")
+    rank = start.select("part", "id", F.col("restart").alias("score"))
+    for k in range(1, rounds + 1):  # a node without links is a seed alone in its horizon, which isn't returned
+        walk = rank.withColumnRenamed("id", "src").join(links, ["part", "src"]).groupBy("part", F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("walk"))
+        rank = walk.join(start, ["part", "id"], "full").select("part", "id", ((1 - alpha) * F.coalesce("restart", F.lit(0.0)) + alpha * F.coalesce("walk", F.lit(0.0))).alias("score"))
+        if k % CUT == 0 or k == rounds:
+            rank = shared_table(rank, "part-rank")
+    least = near.groupBy("id").agg(F.min("distance").alias("distance")).filter("distance > 0")
+    return max_fusion(rank).join(least, "id").orderBy(F.desc("score"), "distance", "id").limit(limit)
+
+
 def hybrid_ppr(edges: DataFrame, prior: DataFrame, alpha: float = 0.15, rounds: int = 10) -> DataFrame:
     """(id, score): weighted directed walk (src, dst, weight) where `alpha` is the weight of going home:
     (1 - alpha) * inflow + alpha * min(1, prior), prior (id, prior) being seed plus saliency over 10."""

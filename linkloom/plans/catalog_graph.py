@@ -138,6 +138,19 @@ def related_notes(spark, sf):
     return G.related(_links(spark, sf), _seed(spark, "p:1"), most=1, limit=10, rounds=5).withColumn("score", F.round("score", 6))
 
 
+PART_WALK = """r{k} as (select coalesce(h.part, m.part) as part, coalesce(h.id, m.id) as id, 0.15 * coalesce(restart, 0) + 0.85 * coalesce(walk, 0) as score from home h full join
+(select step.part, step.dst as id, sum(score / degree) as walk from r{j} join step on step.part = r{j}.part and step.src = r{j}.id join deg on deg.part = step.part and deg.src = step.src group by 1, 2) m on m.part = h.part and m.id = h.id)"""
+
+
+@query(f"""with {EDGES}, seed as (select * from (values ('p:1', 1.0::double), ('p:2', 3.0::double), ('s:3', 2.0::double)) v(id, w)), near as (select id as part, id, 0 as distance from seed union select s.id, b.dst, 1 from seed s join both_ways b on b.src = s.id where b.dst <> s.id),
+step as (select r.part, b.src, b.dst from both_ways b join near r on r.id = b.src join near q on q.part = r.part and q.id = b.dst), deg as (select part, src, count(*) as degree from step group by 1, 2),
+home as (select part, near.id, w / sum(w) over (partition by part) as restart from near join seed on seed.id = near.id), r0 as (select part, id, restart as score from home), {PART_WALK.format(k=1, j=0)}, {PART_WALK.format(k=2, j=1)}, {PART_WALK.format(k=3, j=2)}
+select id, round(max(score), 6) as score, min(distance) as distance from r3 join (select id, min(distance) as distance from near group by id having min(distance) > 0) using (id) group by id order by max(score) desc, distance, id limit 400""")
+def related_partitioned(spark, sf):
+    seeds = spark.createDataFrame([("p:1", 1.0), ("p:2", 3.0), ("s:3", 2.0)], "id string, weight double")
+    return G.related_partitioned(_links(spark, sf), seeds, most=1, limit=400, rounds=3).withColumn("score", F.round("score", 6))
+
+
 @query(f"""with {EDGES}, w as (select src, dst, 1.0::double / count(*) over (partition by src) as share from links), home as (select 'p:' || p_partkey as id, least(1.0, p_size / 50.0)::double as home from part),
 r1 as (select coalesce(h.id, i.id) as id, 0.85 * coalesce(inflow, 0) + 0.15 * coalesce(home, 0) as score from home h full join (select dst as id, sum(home * share) as inflow from home join w on w.src = home.id group by dst) i on i.id = h.id)
 select id, round(score, 6) as score from r1""")

@@ -80,3 +80,11 @@ def test_saliency_clamps(spark):
     assert got["n"] == 10.0 and 1.0 <= got["m"] < 2.0
     later = A.decay(A.fold(t), 86_400 * 5_000).select(F.max("current")).first()[0]
     assert later == 1.0
+
+
+def test_one_partition_is_the_plain_walk(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "f")], "src string, dst string")
+    seed = spark.createDataFrame([("a", 2.0)], "id string, weight double")
+    rows = lambda df: [(r.id, r.distance, round(r.score, 9)) for r in df.collect()]
+    assert rows(G.related_partitioned(e, seed, 2, 9, rounds=4)) == rows(G.related(e, seed, 2, 9, rounds=4))
+    assert G.related_partitioned(e, spark.createDataFrame([("lone", 1.0)], "id string, weight double"), 2, 9, rounds=4).count() == 0
