@@ -8,8 +8,10 @@ form takes `BITS` bits: the signs of a randomised Hadamard transform of a count
 2. Nodes meet in blocks: `BANDS` bands of 16 bits, one row a band. At a similarity of 0.8 two texts share
    at least one band with a probability of 0.99, and of more than 0.9999 from 0.87 on.
 3. In a block the first `SCREEN` bits are compared bit-sliced within `NEAR` bits (three standard
-   deviations beyond what 0.8 gives); a row keeps its first and its last near row, two links a band at
-   most, whatever the block's size. Blocks above `BLOCK` rows are compared by pairs of sub-blocks.
+   deviations beyond what 0.8 gives). A row with at most `FEW` near rows makes a pair with each. Crowded
+   rows, which have more, meet again with all their bits, where the pairs that hold for sure are kept as a
+   spanning forest, and the undecided ones between its trees in full: no pair goes untested. Blocks above
+   `BLOCK` rows are compared by pairs of sub-blocks.
 4. All bits and both sizes give an estimate of the similarity with a standard deviation of 0.02. Links
    `SLACK` above the wanted similarity hold, links as far below fall, and between them the whole sets of
    shingles of the two documents decide.
@@ -21,7 +23,8 @@ an id are one document, one row of which stays; an empty table gives an empty ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ WORDS, SIMILARITY, SLACK = 5, 0.8, 0.06
 SKETCH, BITS, BANDS, SCREEN, NEAR = 4_096, 2_048, 64, 128, 32
 BLOCK = 8_192
 TOGETHER = 256
+#: Near rows in a block up to which a row's pairs are made one by one, and rows that meet the others of a block at a time.
+FEW, QUERIES = 4, 8
 _rng = np.random.default_rng(17)
 PICK = np.sort(_rng.permutation(SKETCH)[:BITS])
 PICK = PICK[_rng.permutation(BITS)]
@@ -86,11 +91,20 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), node, screen[:, 0].copy(), screen[:, 1].copy())], ["key", "node", "s0", "s1"])
 
 
-def neighbours(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key: (row, other) for the first and the last other row of its block within NEAR."""
+def neighbours(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by key: (row, other), every other row of its block within NEAR of a row that has at
+    most FEW of them; and the crowded rows, which have more."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(edge, len(key)))
     out: list[np.ndarray] = []
+    crowded: list[np.ndarray] = []
+
+    def sort_out(row: np.ndarray, first: np.ndarray, near: np.ndarray) -> None:
+        n = near.sum(1, dtype=np.int64)
+        at, lane = np.nonzero(near[few := (n > 0) & (n <= FEW)])
+        out.append(np.stack([row[few][at], first[few][at] + lane]))
+        crowded.append(row[n > FEW])
+
     for most in (2, 4, 8, 16, 32, 64):
         own = np.flatnonzero((sizes <= most) & (sizes > max(1, most // 2)))
         for part in np.array_split(own, max(1, len(own) // 20_000)):
@@ -102,9 +116,7 @@ def neighbours(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 near &= np.uint64(0) - (filled >> np.uint64(k) & bitslice.ONE)
                 hit = np.flatnonzero(near)
                 if len(hit):
-                    bit = np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    for lane in (bit.argmax(1), 63 - bit[:, ::-1].argmax(1)):
-                        out.append(np.stack([edge[part][hit] + k, edge[part][hit] + lane]))
+                    sort_out(edge[part][hit] + k, edge[part][hit], np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     for a, n in zip(edge[sizes > 64], sizes[sizes > 64], strict=True):
         block = fps[a : a + n]
         planes = bitslice.to_planes(block, SCREEN)
@@ -113,44 +125,114 @@ def neighbours(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray
             q = np.arange(b, min(n, b + bitslice.TOGETHER))
             near = np.unpackbits(bitslice.near(planes, masks[:, q, None], NEAR).view(np.uint8), axis=1, bitorder="little")[:, :n]
             near[np.arange(len(q)), q] = 0
-            has = near.any(1)
-            for lane in (near.argmax(1), n - 1 - near[:, ::-1].argmax(1)):
-                out.append(np.stack([a + q[has], a + lane[has]]))
+            sort_out(a + q, np.full(len(q), a), near)
     got = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-    return got[0], got[1]
+    return got[0], got[1], np.concatenate(crowded) if crowded else np.empty(0, np.int64)
 
 
-def candidate_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: near rows of the blocks of nodes (node, fp)."""
+def candidates(nodes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Of the near pairs in the blocks of nodes (node, fp): (a, b), a < b, those with a row that isn't
+    crowded; and (key, node), the crowded rows of each block, between which the others are."""
     rows = nodes.select("node", "fp").mapInArrow(_band_rows, "key long, node long, s0 long, s1 long")
     if rows.groupBy("key").count().filter(F.col("count") > block).head(1):
         rows = cut_blocks(rows, ["key"], block).withColumn("key", F.xxhash64("key", "sub")).drop("sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, fps in bitslice.whole_blocks(batches):
-            i, j = neighbours(key, fps)
+            i, j, crowded = neighbours(key, fps)
             pair = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
             pair = pair[:, pair[0] < pair[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(pair.shape[1], pa.int64())], ["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[crowded]), pa.nulls(len(crowded), pa.int64()), pa.array(key[crowded])], ["a", "b", "key"])
+
+    met = shared_table(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long"), "wide-met")
+    return met.filter("key is null").select("a", "b").distinct(), met.filter("key is not null").select("key", F.col("a").alias("node"))
+
+
+def estimate(fp: tuple[np.ndarray, np.ndarray], size: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The similarity that all bits (words in the last axis) and both sizes give."""
+    share = np.bitwise_count(fp[0] ^ fp[1]).sum(-1, dtype=np.int64) / BITS
+    both = np.minimum(np.cos(np.pi * share) * np.sqrt(size[0] * size[1]), np.minimum(*size))
+    return both / np.maximum(1e-9, size[0] + size[1] - both)
+
+
+def block_links(test: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, least: float, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other, score) of a block of `n` rows that `test` scores, rows against rows: a spanning forest of
+    the pairs from `sure` on, and all pairs from `least` on between its trees. Breadth first, each row once:
+    when a tree is done, its rows have met every row of all later trees."""
+    left = np.arange(n)
+    while len(left) > 1:
+        todo, left, open_pairs = [left[:1]], left[1:], []
+        while todo and len(left):
+            rows = todo.pop()
+            for a in range(0, len(rows), QUERIES):
+                q = rows[a : a + QUERIES]
+                if not len(left):
+                    break
+                score = test(q, left)
+                best = score.argmax(0)
+                hit = score[best, np.arange(len(left))] >= sure
+                if hit.any():
+                    yield q[best[hit]], left[hit], score[best[hit], np.flatnonzero(hit)]
+                    todo.append(left[hit])
+                score, left = score[:, ~hit], left[~hit]
+                i, j = np.nonzero(score >= least)
+                open_pairs.append((q[i], left[j], score[i, j]))
+        if open_pairs:
+            i, j, score = (np.concatenate(x) for x in zip(*open_pairs, strict=True))
+            apart = np.isin(j, left)
+            if apart.any():
+                yield i[apart], j[apart], score[apart]
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """From batches sorted by their first column: the rows of each of its values that has more than one."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        key = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, z in pairwise(cuts):
+            if kept and kept[-1].column(0)[0].as_py() != key[a]:
+                if len(kept) > 1 or kept[0].num_rows > 1:
+                    yield pa.Table.from_batches(kept)
+                kept = []
+            if z - a > 1 or a == 0 or z == len(key):  # a lone row inside a batch meets no other
+                kept.append(b.slice(a, z - a))
+    if kept and (len(kept) > 1 or kept[0].num_rows > 1):
+        yield pa.Table.from_batches(kept)
+
+
+def crowded_links(crowd: DataFrame, nodes: DataFrame, least: float, sure: float) -> DataFrame:
+    """(a, b, estimate): `block_links` of each block's crowded rows by all bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in blocks_of(batches):
+            node, size = x["node"].to_numpy(), x["size"].to_numpy().astype(float)
+            fp = np.frombuffer(b"".join(x["fp"].to_pylist()), np.uint64).reshape(len(node), -1)
+            test = lambda q, o: estimate((fp[q, None], fp[None, o]), (size[q, None], size[None, o]))  # noqa: B023, E731
+            for i, j, score in block_links(test, len(node), least, sure):
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[i], node[j])) for f in (np.minimum, np.maximum)] + [pa.array(score)], ["a", "b", "estimate"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+    rows = crowd.distinct().join(nodes.select("node", "fp", "size"), "node").select("key", "node", "fp", "size")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, estimate double")
 
 
-def estimated_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, estimate): candidate links with the similarity that all bits and both sizes give."""
-    links = candidate_links(nodes, block)
+def estimated_links(nodes: DataFrame, similarity: float, slack: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, estimate): near pairs whose estimate is at least `similarity` - `slack`, all but those that
+    connect crowded rows of one block which pairs from `similarity` + `slack` on connect already."""
+    links, crowd = candidates(nodes, block)
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("size").alias(f"{c}_size"))
     met = links.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            fp = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(x.num_rows, -1) for c in (2, 3)]
+            fp = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(x.num_rows, BITS // 64) for c in (2, 3)]
             size = [x.column(c).to_numpy().astype(float) for c in (4, 5)]
-            share = np.bitwise_count(fp[0] ^ fp[1]).sum(1) / BITS if x.num_rows else np.zeros(0)
-            both = np.minimum(np.cos(np.pi * share) * np.sqrt(size[0] * size[1]), np.minimum(*size))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(both / np.maximum(1e-9, size[0] + size[1] - both))], ["a", "b", "estimate"])
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(estimate(fp, size))], ["a", "b", "estimate"])
 
-    return met.select("a", "b", "a_fp", "b_fp", "a_size", "b_size").mapInArrow(run, "a long, b long, estimate double")
+    few = met.select("a", "b", "a_fp", "b_fp", "a_size", "b_size").mapInArrow(run, "a long, b long, estimate double")
+    both = few.filter(F.col("estimate") >= similarity - slack).union(crowded_links(crowd, nodes, similarity - slack, similarity + slack))
+    return both.dropDuplicates(["a", "b"])
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -169,7 +251,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, wo
 def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, slack: float, id_col: str, text_col: str, words: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links of at least `similarity`. Estimates further than `slack` from it decide; the others
     are settled by the documents' whole shingle sets."""
-    links = shared_table(estimated_links(nodes, block).filter(F.col("estimate") >= similarity - slack), "wide-links")
+    links = shared_table(estimated_links(nodes, similarity, slack, block), "wide-links")
     sure = links.filter(F.col("estimate") >= similarity + slack).select("a", "b")
     close = links.filter(F.col("estimate") < similarity + slack).select("a", "b")
     ids = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()

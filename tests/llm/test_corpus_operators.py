@@ -90,6 +90,20 @@ def test_wide_simhash_groups(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [of.index(k) for k in range(25)]
 
 
+def test_wide_simhash_family(spark):
+    """Pairs in the middle of a family that shares every band at a similarity of about 0.55, and one tree of three."""
+    rng = np.random.default_rng(11)
+    fps = rng.integers(0, 256, (150, simhash_wide.BITS // 8), dtype=np.uint8)
+    fps[:, : simhash_wide.BITS // 16] = fps[0, : simhash_wide.BITS // 16]
+    for a, b in ((40, 77), (51, 63), (58, 59), (59, 90)):
+        fps[b] = fps[a]
+        fps[b, -1] ^= 1 + b % 3
+    nodes = spark.createDataFrame([(i, bytearray(f.tobytes()), 300) for i, f in enumerate(fps)], "node long, fp binary, size long")
+    for block in (simhash_wide.BLOCK, 40):
+        found = simhash_wide.similar_links(docs(spark, []), nodes, 0.8, 0.06, "doc_id", "text", 5, block).collect()
+        assert groups([(r.a, r.b) for r in found], range(150)) == groups([(40, 77), (51, 63), (58, 59), (59, 90)], range(150))
+
+
 def test_wide_simhash_edges(spark):
     d = docs(spark, [*ODD, *ODD]).unionByName(docs(spark, ["lost"] * 2).withColumn("doc_id", F.lit(None).cast("long")))
     kept = simhash_wide.without_near_duplicates(d).collect()
