@@ -91,6 +91,16 @@ def scan_unseen(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     return rows.groupBy("blob").agg(F.bit_or("mask").alias("mask"), F.lit(version).alias("rule_version"), F.sort_array(F.collect_list(span)).alias("spans"))
 
 
+def spans_of(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """Ledger rows of every blob of `paths`: new ones, and for blobs that `ledger` has its spans."""
+    fresh = scan_unseen(paths, ledger, rules, version)
+    if ledger is None:
+        return fresh
+    known = ledger.filter(F.col("rule_version") == version).select("blob", "rule_version", "spans").dropDuplicates(["blob"])
+    seen = paths.groupBy("blob").agg(salt_mask(F.col("salt")).alias("mask")).join(known, "blob")
+    return fresh.unionByName(seen.select(*fresh.columns))
+
+
 def findings_by_path(paths: DataFrame, ledger: DataFrame) -> DataFrame:
     """doc_id and spans of every path, from ledger rows of one rule version."""
     spread = ledger.select("blob", F.explode(salts_in(F.col("mask"))).alias("salt"), "spans")
@@ -106,11 +116,7 @@ def listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """doc_id, blob and spans of every row. Rows of blobs that `ledger` has take its spans."""
     paths = path_blobs(docs, id_col, text_col)
-    fresh = scan_unseen(paths, ledger, rules, version)
-    if ledger is not None:
-        seen = paths.groupBy("blob").agg(salt_mask(F.col("salt")).alias("mask")).join(ledger.filter(F.col("rule_version") == version).select("blob", "rule_version", "spans"), "blob")
-        fresh = fresh.unionByName(seen.select(*fresh.columns))
-    return findings_by_path(paths, fresh)
+    return findings_by_path(paths, spans_of(paths, ledger, rules, version))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -125,12 +131,12 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """`docs`, same columns, with every found span of `text_col` replaced by [kind]. Spans that overlap
-    become one, named after the first. Null texts stay null."""
+    become one, named after the first. Null texts stay null. Blobs that `ledger` has take its spans."""
     names = docs.columns
     whole = docs.withColumns({"_blob": F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), "_salt": salt_of(id_col)})
-    found = scan_unseen(whole.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_salt").alias("salt")), ledger, rules)
+    found = spans_of(whole.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_salt").alias("salt")), ledger, rules, version)
     found = found.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.explode(salts_in(F.col("mask"))).alias("_salt"), F.col("spans").alias("_spans"))
     met = whole.join(found, ["_blob", "_salt"], "left")
     kinds = F.array(*[F.lit(r.kind) for r in rules])
