@@ -4,7 +4,9 @@
 five-word shingles have a Jaccard similarity of 0.8 differ in about 15 % of a SimHash's bits, so this
 form takes `BITS` bits: the signs of a randomised Hadamard transform of a count sketch of the shingles.
 
-1. Equal fingerprints become one node (the smallest doc_id).
+1. Equal sets of shingles, by SHA-256, become one node (the smallest doc_id). Fingerprints of few shingles
+   hold little: pairs with a text of less than `SHORT` are found exactly, by their first shingles in the
+   order of hashes and then their whole sets. What follows is for the other nodes.
 2. Nodes meet in blocks: `BANDS` bands of 16 bits, one row a band. At a similarity of 0.8 two texts share
    at least one band with a probability of 0.99, and of more than 0.9999 from 0.87 on.
 3. In a block the first `SCREEN` bits are compared bit-sliced within `NEAR` bits (three standard
@@ -23,6 +25,7 @@ an id are one document, one row of which stays; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -38,6 +41,8 @@ from linkloom.llm.simhash import cut_blocks, shingle_hashes
 
 WORDS, SIMILARITY, SLACK = 5, 0.8, 0.06
 SKETCH, BITS, BANDS, SCREEN, NEAR = 4_096, 2_048, 64, 128, 32
+#: Distinct shingles below which a text is compared by its whole set alone.
+SHORT = 64
 BLOCK = 8_192
 TOGETHER = 256
 #: Near rows in a block up to which a row's pairs are made one by one, and rows that meet the others of a block at a time.
@@ -57,27 +62,33 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def wide_fingerprints(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each text's fingerprint (rows of BITS / 8), and its number of distinct shingles."""
-    sketch, size = np.zeros((len(texts), SKETCH), np.float32), np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        h = np.unique(shingle_hashes(t, words))
-        size[i] = len(h)
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Bytes of the fingerprint of each set of shingle hashes (rows of BITS / 8)."""
+    sketch = np.zeros((len(sets), SKETCH), np.float32)
+    for i, h in enumerate(sets):
         sign = (h >> np.uint64(40) & np.uint64(1)).astype(np.float32) * 2 - 1
         sketch[i] = np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), weights=sign, minlength=SKETCH)
-    return np.packbits(hadamard(sketch)[:, PICK] > 0, axis=1, bitorder="little"), size
+    return np.packbits(hadamard(sketch)[:, PICK] > 0, axis=1, bitorder="little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, fp, number and digest of the distinct shingles; and all of them if a text of less than SHORT can be similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, TOGETHER):
                 part = b.slice(a, TOGETHER)
-                fp, size = wide_fingerprints([t.as_py() for t in part.column(1)], words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in fp], pa.binary()), pa.array(size)], ["doc_id", "fp", "size"])
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(1)]
+                fp = [r.tobytes() for r in wide_fingerprints(sets)]
+                digest = [hashlib.sha256(h.tobytes()).digest() for h in sets]
+                short = [h.view(np.int64) if len(h) * similarity < SHORT else None for h in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fp, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(short, pa.list_(pa.int64()))],
+                    ["doc_id", "fp", "size", "digest", "short"],
+                )
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return given.filter("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, size long")
+    return given.filter("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, size long, digest binary, short array<long>")
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,20 +274,51 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, slack: f
     return sure.union(held.select("a", "b"))
 
 
+def short_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of nodes (node, short), all that connect them, by their whole sets. Similar sets share one
+    of their first shingles by hash: of n, all but the similarity's share of n, and one more."""
+    first = F.size("short") - F.ceil(F.size("short") * similarity - 1e-9).cast("int") + 1
+    rows = nodes.select("node", "short", F.explode(F.slice("short", F.lit(1), first)).alias("key"))
+    if rows.groupBy("key").count().filter(F.col("count") > block).head(1):
+        rows = cut_blocks(rows, ["key"], block).withColumn("key", F.xxhash64("key", "sub")).drop("sub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in blocks_of(batches):
+            node = x["node"].to_numpy()
+            sets = [s for c in x["short"].chunks for s in c.to_numpy(zero_copy_only=False)]
+            size = np.array([len(s) for s in sets])
+            row = np.repeat(np.arange(len(sets)), size)
+            _, number = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            having, begin = row[order], np.searchsorted(number[order], np.arange(number.max() + 2))
+            own = np.split(number, np.cumsum(size)[:-1])
+
+            def test(q: np.ndarray, o: np.ndarray) -> np.ndarray:
+                both = np.stack([np.bincount(np.concatenate([having[begin[k] : begin[k + 1]] for k in own[i]]), minlength=len(node))[o] for i in q])  # noqa: B023
+                return both >= similarity * (size[q, None] + size[None, o] - both)  # noqa: B023
+
+            for i, j, _ in block_links(test, len(node), 1, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[i], node[j])) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+    rows = rows.select("key", "node", "short").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(run, "a long, b long").filter("a < b").distinct()
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, slack: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id and fp of every document; and every node with its group."""
-    prints = shared_table(fingerprints(docs, id_col, text_col, words), "wide").withColumn("salt", salt_of("doc_id"))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), salt_mask(F.col("salt")).alias("mask"))
+    """doc_id and digest of every document; and every node with its group."""
+    prints = shared_table(fingerprints(docs, id_col, text_col, words, similarity), "wide").withColumn("salt", salt_of("doc_id"))
+    nodes = prints.groupBy("digest", "fp", "size", "short").agg(F.min("doc_id").alias("node"), salt_mask(F.col("salt")).alias("mask"))
     nodes = shared_table(nodes, "wide-nodes")
-    found = components(similar_links(docs, nodes.filter("size > 0"), similarity, slack, id_col, text_col, words, block), "a", "b")
+    long = similar_links(docs, nodes.filter(F.col("size") >= SHORT), similarity, slack, id_col, text_col, words, block)
+    found = components(long.union(short_links(nodes.filter("size > 0 and short is not null"), similarity, block)), "a", "b")
     return prints, nodes.join(found, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
     """doc_id and component_id of every document with an id."""
     prints, nodes = _grouped(docs, id_col, text_col, words, similarity, slack, block)
-    spread = nodes.select("fp", "component_id", F.explode(salts_in(F.col("mask"))).alias("salt"))
-    return prints.select("doc_id", "fp", "salt").join(spread, ["fp", "salt"]).select("doc_id", "component_id")
+    spread = nodes.select("digest", "component_id", F.explode(salts_in(F.col("mask"))).alias("salt"))
+    return prints.select("doc_id", "digest", "salt").join(spread, ["digest", "salt"]).select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, slack: float = SLACK, block: int = BLOCK) -> DataFrame:

@@ -104,6 +104,25 @@ def test_wide_simhash_family(spark):
         assert groups([(r.a, r.b) for r in found], range(150)) == groups([(40, 77), (51, 63), (58, 59), (59, 90)], range(150))
 
 
+def test_wide_simhash_short_texts(spark):
+    """Short texts are grouped by their shingle sets, as brute force does."""
+    rng = np.random.default_rng(5)
+    texts = [f"word{i}" for i in range(500)] + [" ".join(f"s{i}x{n}" for n in range(8 + k)) for i in range(30) for k in range(2)]
+    for n in (12, 30, 64, 68, 75, 82):
+        for f in range(6):
+            base = [f"v{n}x{f}x{i}" for i in range(n)]
+            for k in range(4):
+                own = list(base)
+                own[-int(rng.integers(1, 4))] = f"o{k}"
+                texts.append(" ".join(own + [f"e{i}" for i in range(k)]))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if (k := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - k)]
+    assert len(alike) > 60
+    for block in (simhash_wide.BLOCK, 3):
+        got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(docs(spark, texts), block=block).collect()}
+        assert got == groups(alike, range(len(texts)))
+
+
 def test_wide_simhash_edges(spark):
     d = docs(spark, [*ODD, *ODD]).unionByName(docs(spark, ["lost"] * 2).withColumn("doc_id", F.lit(None).cast("long")))
     kept = simhash_wide.without_near_duplicates(d).collect()
