@@ -3,7 +3,9 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pytest
@@ -36,6 +38,95 @@ def test_html_never_fails(html):
     assert html_text.main_text(html) is not None
 
 
+def test_html_names_and_densities():
+    """Names lower weights, densities decide: prose under a name that only holds a listed word stays."""
+    page = (
+        '<body class="has-sidebar"><header class="site-header"><h1>Site</h1></header><main><article><h1>T</h1><p>First paragraph of text, long enough.</p><div class="social-history"><p>Real paragraph here.</p></div>'
+        '<p class="form-note">Formal text</p><p class="popular">Popular paragraph.</p><ul><li><a href=1>Source one</a><li><a href=2>Source two</a><li><a href=3>Source three</a></ul>'
+        '<ul class="share-buttons"><li><a href=4>Send</a></ul><section id="comments"><p>A reader says a lot of things here, indeed more than the article itself does, and goes on and on.</p></section></article>'
+        "<div><h3>More stories</h3><ul><li><a href=1>One story</a><li><a href=2>Another story that is long</a><li><a href=3>Third</a></ul></div></main>"
+        '<div class="ad-slot">Buy this thing now, it is the very best thing in the world, and cheap.</div><aside><p>An aside with much text in it, as much as the article has, or even more than that.</p></aside></body>'
+    )
+    want = "T\nFirst paragraph of text, long enough.\nReal paragraph here.\nFormal text\nPopular paragraph.\nSource one\nSource two\nSource three"
+    assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<form>{page}</form>") == want
+    inner = re.search("<article>(.*)</article>", page)[1]
+    plain = re.sub("<main>.*</main>", f"<div><div>{inner}</div></div>".replace("Source", "Sources are listed here, as text, number").replace("<a href=1>", "").replace("<a href=2>", "").replace("<a href=3>", "").replace("\\", ""), page)
+    assert html_text.main_text(plain) == want.replace("Source", "Sources are listed here, as text, number")
+
+
+@pytest.mark.parametrize("html", ["<span>" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<div>" * 20_000 + "x</i>" * 20_000, '<a href="x' * 20_000, "<article><p>x" * 20_000, "<td>" * 40_000])
+def test_html_takes_linear_time(html):
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 3
+
+
+def test_html_densities_brute_force():
+    """Random trees: every node's weighted density, summed over its descendants one by one, and the core."""
+    rng = np.random.default_rng(4)
+    kinds = [("div", ""), ("div", ' class="sidebar"'), ("div", ' class="social-history"'), ("section", ""), ("p", ""), ("ul", ""), ("nav", "")]
+
+    def tree(depth):
+        tag, attrs = kinds[rng.integers(0, len(kinds))]
+        parts = [[tag, attrs, []]]
+        if depth == 0 or tag == "p":
+            for _ in range(rng.integers(1, 4)):
+                text = "x" * int(rng.integers(1, 60))
+                parts[0][2].append([("a", "i")[int(rng.integers(0, 2))], "", text] if rng.integers(0, 3) == 0 else text)
+        else:
+            parts[0][2] += [tree(depth - 1) for _ in range(rng.integers(1, 4))]
+        return parts[0]
+
+    html = lambda n: n if isinstance(n, str) else f"<{n[0]}{n[1]}>{n[2] if isinstance(n[2], str) else ''.join(map(html, n[2]))}</{n[0]}>"
+    below = lambda n: [] if isinstance(n, str) or isinstance(n[2], str) else [x for c in n[2] for x in [c, *below(c)]]
+    for _ in range(40):
+        root = ["body", "", [tree(3) for _ in range(3)]]
+        nodes = [n for n in [root, *below(root)] if not isinstance(n, str) and n[0] not in ("a", "i")]
+        counts = {}
+        for n in nodes:
+            inside = below(n)
+            chars = sum(len(x) if isinstance(x, str) else len(x[2]) * isinstance(x[2], str) for x in inside)
+            links = [x for x in inside if not isinstance(x, str) and x[0] == "a"]
+            counts[id(n)] = (chars, sum(not isinstance(x, str) for x in inside), sum(len(x[2]) for x in links), len(links))
+        body = counts[id(root)][2] / max(1, counts[id(root)][0])
+        want = []
+
+        def walk(n, weight):
+            c, t, lc, lt = counts[id(n)]  # noqa: B023
+            t = max(1, t)
+            weight *= 0.02 if "sidebar" in n[1] or n[0] == "nav" else max(0.02, 1 - 2 * lc / max(1, c)) if "social" in n[1] else 1
+            log = math.log(c / max(1, lc) * t / max(1, lt)) if c else 0
+            want.append(weight * max(0.0, c / t * log / max(1.0, math.log(math.log(c / max(1, c - lc) * lc + body * c + math.e))) if c else 0))  # noqa: B023
+            at, kids = len(want) - 1, []
+            for x in n[2]:
+                if not isinstance(x, str) and x[0] not in ("a", "i"):
+                    kids.append(walk(x, weight))
+            sums[at] = sum(want[k] for k in kids)  # noqa: B023
+            return at
+
+        sums: dict[int, float] = {}
+        walk(root, 1.0)
+        sums[-1] = want[0]  # the page, which holds the body
+        page = html_text.Page(html(root))
+        got = page.weighted()
+        assert got[1:] == pytest.approx(want)
+        best = max(sums.values())
+        assert sums[page.core(got) - 1] == pytest.approx(best)
+
+
+def test_html_pages(spark, sf):
+    """Every page of the small table: the blocks of its article."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in queries.op1_html_text(spark, sf).collect()}
+    for r in pages.collect():
+        inner = re.search(r"(?s)<article>(.*?)</article>", re.sub(r"(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->", "", r.html))[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"<br>|</?(?:p|h\d|li|ul|ol|div|table|tr|td|blockquote|pre|figure|section)\b[^>]*>", inner)]
+        lines = [" ".join(x.split()) for x in got[r.page_id].text.split("\n")]
+        assert " ".join(lines).split() == " ".join(blocks).split()
+        assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>a</p>", "t", 5), (1, "u", "<p>a</p>", "t", 5), (2, None, None, "t", 5)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
