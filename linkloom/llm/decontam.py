@@ -1,21 +1,23 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, block-max pruning, verification.
+"""Benchmark decontamination: BM25 over an inverted index of test items, block-max WAND, verification.
 
 1. Test items become an inverted index. An impact is an item's BM25 weight of a term, divided by the
    item's score against itself: a passage that repeats the whole item scores 1, whatever its length.
-   Postings are in item order, in blocks of `BLOCK` items, each with its largest impact a term.
-2. Each document is cut into passages of twice the longest item with half overlap, so every item's copy
-   lies whole in one. For a document's terms, the sum of block maxima bounds every item of the block: blocks
-   under the threshold are never opened. Opened blocks give each item's bound over the document, and only
-   items above it are scored passage by passage. No passage whose score reaches the threshold is missed.
+   Postings are in item order; blocks of `BLOCK` items have the largest impact of each term in them.
+2. Documents are cut into passages with half overlap, of a length that depends on the item alone: twice its words,
+   rounded up to a power of two times `LEAST_PASSAGE`; so every copy of an item lies whole in one. A
+   document's terms bound what any of its passages can score, so block-max WAND runs once a document: cursors over
+   the terms' postings, a pivot where the largest impacts reach the threshold, block maxima that let cursors skip to
+   the next block or cursor. Items it returns are then scored passage by passage: none at the threshold is missed.
 3. A retrieved passage counts if it also holds enough of the item's word triples, in its question and in
    its answer. Without an answer column the last `ANSWER` of an item's words stand for the answer.
 
-The index travels to all tasks in shards of at most `SHARD_WORDS` words, a proven bound; a larger benchmark
-takes more passes, not more memory. Document frequencies are over the whole benchmark. Documents are never
-shuffled, so a passage that a third of them share costs what any other costs.
+The index travels to all tasks in shards of at most `shard_words` words, or of one item that is longer than half of
+that; a larger benchmark takes more passes over the documents, not more memory, and gives the same rows. Document
+frequencies are over the whole benchmark. Documents are never shuffled, so a passage that a third of them
+share costs what any other costs.
 
-Defined results: null and empty texts match nothing; items without words match nothing; repeated items
-and documents each give their rows; empty tables give no rows; other columns are ignored. Words are runs
+Defined results: null and empty texts match nothing; items without words or without an id match nothing; repeated
+items and documents each give their rows; empty tables give no rows; other columns are ignored. Words are runs
 between ASCII white space and punctuation, lower case.
 """
 
@@ -29,14 +31,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import shared_table
+from linkloom.shared import shared_table
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.5
 BLOCK, LEAST_PASSAGE, ANSWER, GRAM = 64, 128, 1 / 3, 3
+BUCKETS = 1_024
 SHARD_WORDS = 2_000_000
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -45,27 +48,28 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_PLAIN).split() if text else []
 
 
-def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """begin[0], ..., end[0] - 1, begin[1], ..."""
-    n = end - begin
-    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+def passage_words(item_words: int) -> int:
+    """Length of the passages that an item of so many words is held against."""
+    return LEAST_PASSAGE << max(0, -(-2 * item_words // LEAST_PASSAGE) - 1).bit_length()
 
 
 @dataclass
 class Index:
-    """One shard. `term_at` gives a term's entries, an entry its block, largest impact and postings."""
+    """One shard. A posting's key is its term's number times the number of items, plus its item; an entry is a term's
+    postings in one block of items, its key the term's number times the number of blocks, plus the block."""
 
     items: np.ndarray
     number: dict[bytes, int]
     term_at: np.ndarray
-    entry_block: np.ndarray
+    term_most: np.ndarray
+    posting: np.ndarray
+    impact: np.ndarray
+    entry: np.ndarray
     entry_most: np.ndarray
-    entry_at: np.ndarray
-    posting_item: np.ndarray
-    posting_impact: np.ndarray
     words: list[np.ndarray]
     question_size: np.ndarray
-    passage: int
+    terms: list[np.ndarray]
+    weights: list[np.ndarray]
 
     @staticmethod
     def build(items: list[tuple[int, list[bytes], int]], df: dict[bytes, int], total: int, mean: float) -> Index:
@@ -73,33 +77,60 @@ class Index:
         number: dict[bytes, int] = {}
         ids = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for _, words, _ in items]
         idf = np.array([np.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) for w in number])
-        rows = []
-        for i, own in enumerate(ids):
-            terms, tf = np.unique(own, return_counts=True)
-            weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
-            rows.append(np.stack([terms, np.full(len(terms), i), weight / max(1e-12, weight.sum())]))
-        term, item, impact = np.concatenate(rows, axis=1) if rows else np.empty((3, 0))
-        by = np.lexsort((item, term))
-        term, item, impact = term[by].astype(np.int64), item[by].astype(np.int64), impact[by]
-        code = term * (len(items) // BLOCK + 1) + item // BLOCK
-        entry_at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, np.int64)
-        most = np.maximum.reduceat(impact, entry_at) if len(code) else np.empty(0)
-        longest = max((len(x) for x in ids), default=1)
-        return Index(
-            np.array([i for i, _, _ in items], np.int64), number, np.searchsorted(term[entry_at], np.arange(len(number) + 1)), item[entry_at] // BLOCK, most,
-            np.append(entry_at, len(code)), item, impact, ids, np.array([q for _, _, q in items], np.int64), max(LEAST_PASSAGE, 2 * longest),
-        )
-
-    def candidates(self, terms: np.ndarray, threshold: float) -> np.ndarray:
-        """Items whose impacts over `terms` (distinct) sum to the threshold, opening only blocks that can hold one."""
-        entry = _ranges(self.term_at[terms], self.term_at[terms + 1])
-        block = self.entry_block[entry]
-        open_ = np.bincount(block, self.entry_most[entry], minlength=len(self.items) // BLOCK + 1) >= threshold
-        entry = entry[open_[block]]
-        if not len(entry):
-            return entry
-        posting = _ranges(self.entry_at[entry], self.entry_at[entry + 1])
-        return np.flatnonzero(np.bincount(self.posting_item[posting], self.posting_impact[posting]) >= threshold)
+        terms, weights = [], []
+        for own in ids:
+            t, tf = np.unique(own, return_counts=True)
+            weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
+            terms.append(t)
+            weights.append(weight / max(1e-12, weight.sum()))
+        n, blocks = len(items), len(items) // BLOCK + 1
+        posting = np.concatenate([t * n + i for i, t in enumerate(terms)]) if n else np.empty(0, np.int64)
+        by = np.argsort(posting)
+        posting, impact = posting[by], (np.concatenate(weights) if n else np.empty(0))[by]
+        term = posting // max(1, n)
+        code = term * blocks + posting % max(1, n) // BLOCK
+        begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if n else np.empty(0, np.int64)
+        term_at = np.searchsorted(term, np.arange(len(number) + 1))
+        most = lambda at: np.maximum.reduceat(impact, at) if n else np.empty(0)
+        return Index(np.array([i for i, _, _ in items], np.int64), number, term_at, most(term_at[:-1]), posting, impact, code[begin], most(begin), ids, np.array([q for _, _, q in items], np.int64), terms, weights)
+
+    def candidates(self, terms: np.ndarray, threshold: float) -> list[int]:
+        """Items whose impacts over `terms` (distinct) sum to the threshold, by block-max WAND."""
+        n, blocks, found = len(self.items), len(self.items) // BLOCK + 1, []
+        most = self.term_most[terms]
+        if most.sum() < threshold:
+            return found
+        base, at, end = terms * n, self.term_at[terms], self.term_at[terms + 1]
+        last = np.append(self.posting, 0)
+        item = last[at] - base
+        while True:
+            order = np.argsort(item, kind="stable")
+            reached = np.cumsum(most[order])
+            p = int(np.searchsorted(reached, threshold))
+            if p == len(order) or item[order[p]] >= n:
+                return found
+            pivot = int(item[order[p]])
+            line = item[order]
+            p = int(np.searchsorted(line, pivot, "right"))
+            sub, block = order[:p], pivot // BLOCK
+            upto = min((block + 1) * BLOCK, int(line[p]) if p < len(line) else n)
+            if self._block_sum(terms[sub], block, blocks) < threshold:
+                if upto % BLOCK and self._block_sum(terms, block, blocks) < threshold:
+                    sub, upto = order, (block + 1) * BLOCK
+            elif line[0] == pivot:
+                if self.impact[at[sub]].sum() >= threshold:
+                    found.append(pivot)
+                upto = pivot + 1
+            else:
+                upto = pivot
+            sub = sub[item[sub] < upto]
+            at[sub] = np.searchsorted(self.posting, base[sub] + min(upto, n))
+            item[sub] = np.where(at[sub] < end[sub], last[at[sub]] - base[sub], n)
+
+    def _block_sum(self, terms: np.ndarray, block: int, blocks: int) -> float:
+        wanted = terms * blocks + block
+        at = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
+        return self.entry_most[at][self.entry[at] == wanted].sum()
 
     def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float, int]]:
         """(item_id, score, question overlap, answer overlap, first word of the passage), the best passage an item."""
@@ -109,14 +140,13 @@ class Index:
         ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         terms = np.unique(ids)
         out = []
-        half = self.passage // 2
         for i in self.candidates(terms[terms >= 0], threshold - 1e-9):
             own = self.words[i]
+            half = passage_words(len(own)) // 2
             where = np.flatnonzero(np.isin(ids, own))
             pair = np.unique(np.concatenate([w * len(self.number) + ids[where] for w in (where // half, where // half - 1)]))
             window, term = pair // len(self.number), pair % len(self.number)
-            distinct, impact = self._impacts(i)
-            score = np.bincount(np.maximum(window, 0), np.where(window >= 0, impact[np.searchsorted(distinct, term)], 0))
+            score = np.bincount(np.maximum(window, 0), np.where(window >= 0, self.weights[i][np.searchsorted(self.terms[i], term)], 0))
             best = None
             for w in np.flatnonzero(score >= threshold - 1e-9):
                 passage = ids[w * half : (w + 2) * half]
@@ -128,13 +158,6 @@ class Index:
                 out.append(best)
         return out
 
-    def _impacts(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.unique(self.words[i])
-        entry = _ranges(self.term_at[terms], self.term_at[terms + 1])
-        entry = entry[self.entry_block[entry] == i // BLOCK]
-        posting = _ranges(self.entry_at[entry], self.entry_at[entry + 1])
-        return terms, self.posting_impact[posting[self.posting_item[posting] == i]]
-
 
 def _held(part: np.ndarray, passage: np.ndarray) -> float:
     """Share of a part's word runs (triples, or the whole of a shorter part) that the passage holds."""
@@ -149,7 +172,7 @@ def _held(part: np.ndarray, passage: np.ndarray) -> float:
 
 
 def build_indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, shard_words: int = SHARD_WORDS) -> list[Index]:
-    """The benchmark as indexes of at most about `shard_words` words each."""
+    """The benchmark as indexes of at most `shard_words` words each, or of one longer item."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,19 +186,37 @@ def build_indexes(items: DataFrame, *, id_col: str = "item_id", text_col: str =
     given = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("q"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
     rows = shared_table(given.mapInArrow(tokens, "item_id long, words array<binary>, cut int").filter(F.size("words") > 0), "items")
     total, words = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    df = rows.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    shards = -(-words // shard_words)
-    place = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, shards))))
+    df = shared_table(rows.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df")), "item-terms")
     out = []
-    for k in range(shards):  # each is within the bound
-        own = place.filter(F.col("shard") == k)
+    for low, high, placed in shards_of(rows.filter("item_id is not null"), shard_words):
+        own = placed.filter(F.col("piece").between(low, high))
         terms = own.select(F.explode("words").alias("w")).distinct()
-        freq = {bytes(r[0]): r[1] for r in terms.join(df, "w").collect()}
-        got = [(r[0], [bytes(w) for w in r[1]], r[2]) for r in own.orderBy("item_id").select("item_id", "words", "cut").collect() if r[0] is not None]
+        freq = {bytes(r[0]): r[1] for r in terms.join(df, "w").collect()}  # a shard's words
+        got = [(r[0], [bytes(w) for w in r[1]], r[2]) for r in own.orderBy("item_id", F.xxhash64("words")).select("item_id", "words", "cut").collect()]
         out.append(Index.build(got, freq, total, words / total))
     return out
 
 
+def shards_of(rows: DataFrame, shard_words: int) -> Iterator[tuple[int, int, DataFrame]]:
+    """Ranges of pieces that hold at most `shard_words` words, or one item of more than half of that; and the rows
+    with their pieces. A piece is a run of one bucket's items of at most `shard_words` words, or one such item."""
+    half = max(1, shard_words // 2)
+    n = F.size("words")
+    bucket = F.pmod(F.xxhash64("item_id", "words"), F.lit(BUCKETS))
+    line = Window.partitionBy("bucket", "lone").orderBy("item_id", F.xxhash64("words")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumns({"bucket": bucket, "lone": (n > half).cast("int")})
+    nth = F.when(F.col("lone") == 1, F.count("*").over(line)).otherwise(F.call_function("div", F.sum(n).over(line) - 1, F.lit(half)))
+    placed = shared_table(placed.withColumn("piece", ((F.col("bucket") * 2 + F.col("lone")) * F.lit(1 << 40) + nth).cast("long")).drop("bucket", "lone"), "item-pieces")
+    low, high, held = None, None, 0
+    for piece, size in placed.groupBy("piece").agg(F.sum(n)).orderBy("piece").collect():  # at most two a bucket and two a shard
+        if low is not None and held + size > shard_words:
+            yield low, high, placed
+            low, held = None, 0
+        low, high, held = piece if low is None else low, piece, held + size
+    if low is not None:
+        yield low, high, placed
+
+
 def _clean(shared: Broadcast, threshold: float, overlap: float):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:

@@ -1,5 +1,8 @@
 """Operators over groups of documents, and the pipeline, against brute force."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -98,9 +101,10 @@ def test_wide_simhash_family(spark):
     for a, b in ((40, 77), (51, 63), (58, 59), (59, 90)):
         fps[b] = fps[a]
         fps[b, -1] ^= 1 + b % 3
-    nodes = spark.createDataFrame([(i, bytearray(f.tobytes()), 300) for i, f in enumerate(fps)], "node long, fp binary, size long")
+    nodes = spark.createDataFrame([(i, bytearray(f.tobytes()), 300, bytearray([i]), i) for i, f in enumerate(fps)], "node long, fp binary, size long, digest binary, first long")
+    prints = nodes.select("digest", F.col("first").alias("doc_id"), F.lit(0).cast("long").alias("tag"))
     for block in (simhash_wide.BLOCK, 40):
-        found = simhash_wide.similar_links(docs(spark, []), nodes, 0.8, 0.06, "doc_id", "text", 5, block).collect()
+        found = simhash_wide.similar_links(docs(spark, []), prints, nodes, 0.8, 0.06, "doc_id", "text", 5, block).collect()
         assert groups([(r.a, r.b) for r in found], range(150)) == groups([(40, 77), (51, 63), (58, 59), (59, 90)], range(150))
 
 
@@ -131,6 +135,39 @@ def test_wide_simhash_edges(spark):
     assert simhash_wide.without_near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_wide_simhash_repeated_ids(spark):
+    """One id with three texts is three documents; rows that repeat id and text are one; columns of any name stay."""
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(90))
+    rows = [(7, words("a")), (7, words("b")), (7, words("a")), (7, words("c") + " tail"), (8, words("c")), (9, words("b").upper())]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in ("id", "tag", "key", "digest", "node", "_once", "text_hash")})
+    for _ in range(2):
+        kept = simhash_wide.without_near_duplicates(d)
+        assert kept.columns == d.columns and {r.tag for r in kept.collect()} == {"tag"}
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(7, words("a")), (7, words("b")), (7, words("c") + " tail")])
+
+
+def test_wide_simhash_recall(spark):
+    """Against all pairs of the larger table: pairs of 0.8 and more share a group, and few others do."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in d.collect()}
+    having: dict[int, list[int]] = {}
+    for i, own in sets.items():
+        for h in own:
+            having.setdefault(h, []).append(i)
+    both: dict[tuple[int, int], int] = {}
+    for ids in having.values():
+        for x, i in enumerate(ids):
+            for j in ids[:x]:
+                both[i, j] = both.get((i, j), 0) + 1
+    pairs = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in both.items()}
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(d).collect()}
+    alike = [p for p, n in pairs.items() if n >= 0.8]
+    assert len(alike) > 50
+    assert sum(got[i] == got[j] for i, j in alike) >= 0.99 * len(alike)
+    want = groups(alike, sets)
+    assert sum(got[i] == got[j] for (i, j), n in pairs.items() if n < 0.8 and want[i] != want[j]) == 0
+
+
 def test_decontamination(spark, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
@@ -150,17 +187,54 @@ def test_decontamination(spark, sf):
     assert decontam.contaminated(d, none).count() == 0 and decontam.without_contaminated(d, none).count() == len(texts)
 
 
-def test_block_max_misses_nothing(spark, sf):
-    """Items that a document's terms reach by plain BM25 are what the pruned index returns."""
-    index = decontam.build_indexes(spark.read.parquet(f"{sf}/benchmark.parquet"))[0]
-    for r in spark.read.parquet(f"{sf}/documents.parquet").limit(80).collect():
-        terms = np.unique([index.number[w] for w in decontam.words_of(r.text) if w in index.number]).astype(np.int64)
-        score = np.zeros(len(index.items))
-        for i in range(len(index.items)):
-            own, impact = index._impacts(i)
-            score[i] = impact[np.isin(own, terms)].sum()
-        for threshold in (0.2, 0.4, 0.6):
-            assert index.candidates(terms, threshold).tolist() == np.flatnonzero(score >= threshold).tolist()
+def bm25_passages(items, texts):
+    """score of every item against every passage of its length of every text, by plain loops: {(text, item): {word: score}}."""
+    words = {i: decontam.words_of(t) for i, t in items.items()}
+    words = {i: w for i, w in words.items() if w}
+    df = Counter(w for own in words.values() for w in set(own))
+    mean = sum(map(len, words.values())) / len(words)
+    weight = {}
+    for i, own in words.items():
+        tf = Counter(own)
+        raw = {w: math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, n in tf.items()}
+        weight[i] = {w: x / sum(raw.values()) for w, x in raw.items()}
+    out = {}
+    for t, text in enumerate(texts):
+        own = decontam.words_of(text)
+        for i, w in weight.items():
+            size = 128
+            while size < 2 * len(words[i]):
+                size *= 2
+            out[t, i] = {a: sum(w[x] for x in set(own[a : a + size]) if x in w) for a in range(0, max(1, len(own)), size // 2)}
+    return out
+
+
+def test_wand_against_plain_bm25(spark, sf):
+    """Every (document, item) with a passage at the threshold, whatever the threshold, overlap and shards."""
+    items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()}
+    items |= {1_000: "long item " + " ".join(items.values()), 1_001: "  ", 1_002: next(iter(items.values()))}
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    texts += [" ".join(list(items.values())[k].split()[: 6 + 4 * k] + texts[k].split()) for k in range(8)] + [items[1_000], None, ""]
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = bm25_passages(items, texts)
+    for threshold in (0.15, 0.3, 0.6):
+        held = {k: {a: v for a, v in p.items() if v >= threshold - 1e-9} for k, p in want.items()}
+        for words in (decontam.SHARD_WORDS, 400, 1):
+            got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, texts), table, threshold=threshold, overlap=0.0, shard_words=words).collect()}
+            assert set(got) == {k for k, p in held.items() if p}
+            assert all(r.score == pytest.approx(held[k][r.word_at]) for k, r in got.items())
+
+
+def test_shards(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k % 40, [b"w%d" % i for i in range(n)]) for k, n in enumerate([*rng.integers(1, 60, 200), 900, 5_000])]
+    d = spark.createDataFrame([(i, list(map(bytearray, w))) for i, w in rows], "item_id long, words array<binary>")
+    got = []
+    for low, high, placed in decontam.shards_of(d, 1_000):
+        sizes = [r.n for r in placed.filter(F.col("piece").between(low, high)).select(F.size("words").alias("n")).collect()]
+        assert sizes and (sum(sizes) <= 1_000 or len(sizes) == 1)
+        got += sizes
+    assert sorted(got) == sorted(len(w) for _, w in rows)
 
 
 def test_answer_column(spark):
