@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import decontam, mixing, quality_classifier, secret_scan, simhash_wide
-from linkloom.llm.common import shared_table
-from linkloom.shared import reach_workers
+from linkloom.shared import reach_workers, shared_table
 
 
 def _stage(work):
