@@ -1,204 +1,72 @@
-"""Language-model scoring by stupid backoff, with the whole corpus's n-gram counts.
-
-The count table is partitioned by n-gram hash and meets the n-grams of each block of documents:
-
-1. A block is a run of documents with about `BLOCK_WORDS` words. Its n-grams of every order are
-   exploded, counted and sorted by hash; each hash bucket gets one packed row a block. However frequent
-   an n-gram is, a block sends it once, so no bucket holds more than blocks times its n-grams.
-2. A bucket adds the counts of all blocks (its part of the count table) and answers each block with the
-   totals of what it sent, in the same order.
-3. A block, as word numbers, meets its answers and sums the logarithms per document.
+"""Language-model scoring by stupid backoff, with the whole corpus's n-gram counts, as joins.
 
 S(w | context) is count(context w) / count(context) for the longest context whose n-gram occurs at least
 `least` times in the corpus; each step down costs a factor `backoff`; a word alone has count / words.
 The score is the mean natural logarithm of S over a document's words. N-grams end at documents' edges.
 
-Steps 1 and 3 number blocks by partition and place in it, so they must see the same partitions: a plain
-scan of a table does; anything else is written to the shared folder first (`stable=False`).
-
-Hashes have 48 bits: among a billion n-grams one lookup in 280,000 meets a stranger's count.
-
-Defined results: null and empty texts have no words and score 0; repeated rows count and are scored each;
-a null id stays null; an empty table gives no rows; other columns are ignored; case counts as it stands.
+1. Texts are exploded to one row for each n-gram of each order that ends at each word. A row is the n-gram
+   itself, so no two n-grams are taken for one.
+2. Counts: one aggregate by n-gram, partial in the scan stage, then by hash. N-grams above one word that stay
+   under `least` are as good as absent and aren't kept.
+3. Values: an n-gram's log score, by a join with the counts of its context, less `backoff` and the score of the
+   n-gram one word shorter (a join again). So the score of a word is the sum of the values of all n-grams that end
+   at it, plus ln(backoff) for each order above one: an n-gram that isn't kept has no value, and that is the step down.
+4. Exploded n-grams meet their values by a join and are summed a document. At most `HOT` n-grams an order, those with
+   at least that share of all words, are sent to the scans and summed there, so no frequent n-gram is a hot key.
+
+Documents are known by id and a hash of the text: repeated rows add up to a multiple and are divided by it.
+
+Defined results: null and empty texts have no words and score 0; repeated rows count and are scored each; a null id
+stays null; an empty table gives no rows; other columns are ignored; case counts as it stands. Long texts are cut
+into runs of `RUN` words, with the words before each, before they are exploded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import shared_table
+from linkloom.shared import shared_table
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
-BLOCK_WORDS, BUCKET_CHARS = 2_000_000, 6_000_000
-HASH_BITS = 48
-#: Stands for a null doc_id inside a block.
-NO_ID = -(1 << 63)
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * _A + b
-    x = (x ^ x >> np.uint64(30)) * _B
-    x = (x ^ x >> np.uint64(27)) * _C
-    return x ^ x >> np.uint64(31)
-
-
-@dataclass
-class Block:
-    """Documents as word numbers: `words` has the hash of each word, `ids` the words of all documents."""
-
-    doc: np.ndarray
-    size: np.ndarray
-    words: np.ndarray
-    ids: np.ndarray
-
-    def pack(self) -> bytes:
-        body = b"".join(x.tobytes() for x in (self.doc, self.size, self.words, self.ids))
-        head = np.array([len(self.doc), len(self.words), len(self.ids), len(body)], np.int64).tobytes()
-        return head + pa.compress(body, "zstd", asbytes=True)
-
-    @staticmethod
-    def unpack(data: bytes) -> Block:
-        docs, words, ids, size = np.frombuffer(data, np.int64, 4)
-        body = memoryview(pa.decompress(data[32:], int(size), "zstd"))
-        cut = np.cumsum([0, 8 * docs, 4 * docs, 8 * words, 4 * ids])
-        parts = [np.frombuffer(body[a:b], t) for a, b, t in zip(cut, cut[1:], (np.int64, np.uint32, np.uint64, np.uint32), strict=False)]
-        return Block(*parts)
-
-
-class Grams:
-    """The distinct n-grams of a block by order. For each order: `at[i]`, the n-gram that ends at word i
-    (-1: the document begins later); its hash, context and count."""
-
-    def __init__(self, block: Block, order: int) -> None:
-        ids, v = block.ids.astype(np.int64), max(1, len(block.words))
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(block.size) - block.size, block.size)
-        self.at, self.hash, self.context = [ids], [_mix(block.words, np.uint64(1))], [np.zeros(v, np.int64)]
-        self.count = [np.bincount(ids, minlength=len(block.words))]
-        for k in range(2, order + 1):
-            ends = np.flatnonzero(place >= k - 1)
-            code, inverse, count = np.unique(self.at[-1][ends - 1] * v + ids[ends], return_inverse=True, return_counts=True)
-            at = np.full(len(ids), -1, np.int64)
-            at[ends] = inverse
-            self.context.append(code // v)
-            self.hash.append(_mix(self.hash[-1][code // v], block.words[code % v] + np.uint64(k)))
-            self.at.append(at)
-            self.count.append(count)
-
-    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all orders, rising; their counts; and the permutation that sorted them."""
-        h = np.concatenate(self.hash) >> np.uint64(64 - HASH_BITS)
-        by = np.argsort(h, kind="stable")
-        return h[by], np.concatenate(self.count)[by], by
-
-
-def _pack_counts(n: np.ndarray) -> bytes:
-    """One byte a count, those of 255 and more listed behind."""
-    big = n[n >= 255].astype(np.uint64)
-    body = np.minimum(n, 255).astype(np.uint8).tobytes() + big.tobytes()
-    return np.array([len(n), len(body)], np.int64).tobytes() + pa.compress(body, "zstd", asbytes=True)
-
-
-def _unpack_counts(data: bytes) -> np.ndarray:
-    n, size = np.frombuffer(data, np.int64, 2)
-    body = pa.decompress(data[16:], int(size), "zstd", asbytes=True)
-    out = np.frombuffer(body, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(body[n:], np.uint64).astype(np.int64)
-    return out
-
-
-def _pack_hashes(h: np.ndarray) -> bytes:
-    """Steps between rising hashes, as 32 bits where all fit, else 64."""
-    step = np.diff(h, prepend=np.uint64(0))
-    return step[:1].tobytes() + (step[1:].astype(np.uint32).tobytes() if len(step) and (step[1:] < 1 << 32).all() else b"w" + step[1:].tobytes())
-
-
-def _unpack_hashes(data: bytes) -> np.ndarray:
-    rest = data[8:]
-    step = np.frombuffer(rest, np.uint32).astype(np.uint64) if len(rest) % 4 == 0 else np.frombuffer(rest[1:], np.uint64)
-    return np.cumsum(np.concatenate((np.frombuffer(data[:8], np.uint64), step)), dtype=np.uint64)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    """(number, block) over a partition of (doc_id, text)."""
-    nth = 0
-    task = TaskContext.get()
-    first = (task.partitionId() if task else 0) << 24
-    number: dict[bytes, int] = {}
-    docs: list[int] = []
-    ids: list[np.ndarray] = []
-
-    def done() -> tuple[int, Block]:
-        words = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in number), np.uint64, len(number))
-        return first + nth, Block(np.array(docs, np.int64), np.array([len(x) for x in ids], np.uint32), words, np.concatenate(ids))
-
-    held = 0
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = (text.as_py() or b"").split()
-            docs.append(NO_ID if doc is None else doc)
-            ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-            held += len(words)
-            if held >= BLOCK_WORDS:
-                yield done()
-                nth += 1
-                held = 0
-                number, docs, ids = {}, [], []
-    if docs:
-        yield done()
-
-
-def _sent(block: Block, order: int, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    h, n, _ = Grams(block, order).sorted()
-    cut = np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
-    for k in range(1 << bits):
-        a, b = cut[k], cut[k + 1]
-        if b > a:
-            yield k, _pack_hashes(h[a:b]), _pack_counts(n[a:b])
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """All that blocks sent to one bucket, to each block the corpus totals of its n-grams."""
-    hashes = [_unpack_hashes(x.as_py()) for x in table.column("hashes")]
-    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([_unpack_counts(x.as_py()) for x in table.column("counts")])).astype(np.int64)[inverse]
-    cut = np.cumsum([0, *map(len, hashes)])
-    packed = pa.array([_pack_counts(total[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": packed})
-
-
-def document_sums(block: Block, total: np.ndarray, order: int, least: int, backoff: float) -> tuple[np.ndarray, ...]:
-    """For each document: the sum of ln S without the ln(words) of words alone, how many words stood
-    alone, and how many steps down were taken. total: the corpus counts, as `Grams.sorted` has them."""
-    grams = Grams(block, order)
-    by = grams.sorted()[2]
-    back = np.empty(len(total), np.int64)
-    back[by] = total
-    count = np.split(back, np.cumsum([len(h) for h in grams.hash])[:-1])
-    size = len(block.ids)
-    value = np.log(count[0])[grams.at[0]] if size else np.zeros(0)
-    alone, steps, open_ = np.ones(size, bool), np.zeros(size, np.int64), np.ones(size, bool)
-    for k in range(order - 1, 0, -1):
-        here = open_ & (grams.at[k] >= 0)
-        use = here.copy()
-        use[here] = count[k][grams.at[k][here]] >= least
-        g = grams.at[k][use]
-        value[use] = np.log(count[k][g]) - np.log(count[k - 1][grams.context[k][g]])
-        steps[here & ~use] += 1
-        alone &= ~use
-        open_ &= ~use
-    value += steps * np.log(backoff)
-    doc = np.repeat(np.arange(len(block.doc)), block.size)
-    add = lambda x: np.bincount(doc, weights=x, minlength=len(block.doc))
-    return add(value), add(alone).astype(np.int64), add(steps).astype(np.int64)
+#: Words of a text that are exploded at a time; n-grams of each order at most that go to all tasks.
+RUN, HOT = 10_000, 10_000
+
+
+def exploded(docs: DataFrame, order: int) -> DataFrame:
+    """doc_id, tag, n (order) and gram: a row for each n-gram, from docs (doc_id, tag, text)."""
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    none = F.array_repeat(F.lit(None).cast("string"), order - 1)
+    runs = docs.select("doc_id", "tag", words.alias("words")).filter(F.size("words") > 0)
+    runs = runs.select("doc_id", "tag", "words", F.explode(F.sequence(F.lit(1), F.size("words"), F.lit(RUN))).alias("start"))
+    size = F.least(F.lit(RUN), F.size("words") - F.col("start") + 1)
+    lines = [F.slice(F.concat(none, "words"), F.col("start") + k, size).alias(f"w{k}") for k in range(order)]
+    ends = runs.select("doc_id", "tag", F.explode(F.arrays_zip(*lines)).alias("at")).select("doc_id", "tag", "at.*")
+    gram = lambda n: F.when(F.col(f"w{order - n}").isNotNull(), F.concat_ws(" ", *[f"w{k}" for k in range(order - n, order)]))
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in range(1, order + 1)])
+    return ends.select("doc_id", "tag", F.explode(grams).alias("g")).select("doc_id", "tag", "g.n", "g.gram").filter("gram is not null")
+
+
+def counts(grams: DataFrame, least: int) -> DataFrame:
+    """n, gram and its count in the corpus, of single words and of n-grams with `least` or more."""
+    return grams.groupBy("gram", "n").agg(F.count("*").alias("c")).filter((F.col("n") == 1) | (F.col("c") >= least))
+
+
+def values(table: DataFrame, words: int, order: int, backoff: float) -> DataFrame:
+    """n, gram, c and value of every n-gram of `table` (from `counts`)."""
+    one = table.filter("n = 1").select("gram", "c", (F.log("c") - float(np.log(words))).alias("score"))
+    out = [one.select(F.lit(1).alias("n"), "gram", "c", F.col("score").alias("value"))]
+    shorter = one
+    for n in range(2, order + 1):
+        own = table.filter(F.col("n") == n).select("gram", "c", F.substring_index("gram", " ", n - 1).alias("context"), F.expr("substring(gram, instr(gram, ' ') + 1)").alias("tail"))
+        met = own.join(shorter.select(F.col("gram").alias("context"), F.col("c").alias("context_c")), "context")
+        met = met.join(shorter.select(F.col("gram").alias("tail"), F.col("score").alias("tail_score")), "tail")
+        shorter = shared_table(met.select("gram", "c", (F.log("c") - F.log("context_c")).alias("score"), "tail_score"), "lm-values")
+        out.append(shorter.select(F.lit(n).alias("n"), "gram", "c", (F.col("score") - F.col("tail_score") - float(np.log(backoff))).alias("value")))
+    return reduce(DataFrame.union, out)
 
 
 def score_documents(
@@ -209,40 +77,30 @@ def score_documents(
     order: int = ORDER,
     least: int = LEAST,
     backoff: float = BACKOFF,
-    stable: bool = False,
 ) -> DataFrame:
     """doc_id, n_words, n_alone (words scored without context), n_backoff (steps down) and score."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    if not stable:
-        given = shared_table(given, "lm-docs")
-    chars = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(4, (chars // BUCKET_CHARS).bit_length())
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches):
-            rows = list(_sent(block, order, bits))
-            if rows:
-                k, h, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(k), pa.int64()), pa.array(k, pa.int32()), pa.array(h, pa.binary()), pa.array(n, pa.binary())], ["block", "bucket", "hashes", "counts"])
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([block.pack()], pa.binary())], ["block", "bucket", "data"])
-
-    def finish(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("data"), strict=True), key=lambda r: r[0])
-        if not rows or rows[0][0] != -1 or len(rows) > 1 and rows[1][0] == -1:
-            raise ValueError("blocks differ between the two passes: score a written table, or pass stable=False")
-        block = Block.unpack(rows[0][1].as_py())
-        total = np.concatenate([np.zeros(0, np.int64), *[_unpack_counts(d.as_py()) for _, d in rows[1:]]])
-        value, alone, steps = document_sums(block, total, order, least, backoff)
-        cols = (block.size.astype(np.int64), alone, steps, value)
-        return pa.table([pa.array(block.doc, mask=block.doc == NO_ID), *map(pa.array, cols)], ["doc_id", "n_words", "n_alone", "n_backoff", "value"])
-
-    answers = given.mapInArrow(send, "block long, bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(_answer, "block long, bucket int, data binary")
-    blocks = given.mapInArrow(keep, "block long, bucket int, data binary")
-    sums = blocks.union(answers).groupBy("block").applyInArrow(finish, "doc_id long, n_words long, n_alone long, n_backoff long, value double")
-    sums = shared_table(sums, "lm-sums")
-    words = sums.agg(F.sum("n_words")).first()[0] or 1
-    mean = F.when(F.col("n_words") > 0, (F.col("value") - F.col("n_alone") * F.lit(float(np.log(words)))) / F.col("n_words")).otherwise(F.lit(0.0))
-    return sums.select("doc_id", "n_words", "n_alone", "n_backoff", mean.alias("score"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    grams = exploded(given, order)
+    table = shared_table(counts(grams, least), "lm-counts")
+    words = table.filter("n = 1").agg(F.sum("c")).first()[0] or 1
+    value = shared_table(values(table, words, order, backoff), "lm-value").drop("n")
+    hot = F.broadcast(value.filter(F.col("c") * HOT >= words).drop("c"))  # at most HOT n-grams of each order
+    cold = value.filter(F.col("c") * HOT < words).drop("c")
+
+    held = F.col("value").isNotNull().cast("long")
+    more = (F.col("n") > 1).cast("long")
+    sums = (
+        F.sum(1 - more).alias("n_words"), F.sum(more).alias("tries"), F.sum(more * held).alias("held"), F.sum((F.col("n") == 2).cast("long") * held).alias("second"), F.sum("value").alias("value"),
+    )
+    parts = [grams.join(hot, "gram"), grams.join(hot, "gram", "left_anti").join(cold, "gram", "left")]
+    parts = [p.groupBy("doc_id", "tag").agg(*sums) for p in parts]
+    one = given.select("doc_id", "tag", F.lit(1).cast("long").alias("rows"))
+    total = parts[0].unionByName(parts[1], True).unionByName(one, True).groupBy("doc_id", "tag")
+    total = total.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "tries", "held", "second", "value", "rows")])
+    mean = F.when(F.col("n_words") > 0, (F.col("value") + F.col("tries") * float(np.log(backoff))) / F.col("n_words")).otherwise(0.0)
+    each = lambda c: F.call_function("div", c, F.col("rows"))
+    found = total.select("doc_id", "tag", each(F.col("n_words")).alias("n_words"), each(F.col("n_words") - F.col("second")).alias("n_alone"), each(F.col("tries") - F.col("held")).alias("n_backoff"), mean.alias("score"), "rows")
+    found = shared_table(found, "lm-sums")
+    # Rows that repeat an id and a text are few as a rule; each such pair gives its row again.
+    own = found.filter("rows = 1").union(found.filter("rows > 1").join(one.select("doc_id", "tag"), (found["doc_id"].eqNullSafe(one["doc_id"])) & (found["tag"] == one["tag"])).select(*[found[c] for c in found.columns]))
+    return own.drop("tag", "rows")

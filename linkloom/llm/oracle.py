@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import mixing, quality_rules, secret_scan
+from linkloom.llm import lm_score, mixing, quality_rules, secret_scan
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -86,4 +86,17 @@ j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {' and '.join(tests)} as kept from j"""
 
 
-SQL = {"op3_mix_sources": mix_sql(), "op4_secret_scan": secret_sql(), "op10_quality_rules": rules_sql()}
+def lm_sql(least: int = lm_score.LEAST, backoff: float = lm_score.BACKOFF) -> str:
+    """Each word's longest context by cases; counts of words, pairs and triples by plain aggregates."""
+    return f"""with d as (select doc_id, row_number() over () as r, {WORDS} as w from documents),
+u as (select r, unnest(w) as c, generate_subscripts(w, 1) as i from d),
+p as (select *, lag(c) over l as b, lag(c, 2) over l as a from u window l as (partition by r order by i)),
+n1 as (select c, count(*) as k from p group by 1), n2 as (select b, c, count(*) as k from p where b is not null group by 1, 2), n3 as (select a, b, c, count(*) as k from p where a is not null group by 1, 2, 3),
+s as (select r, case when n3.k >= {least} then 0 when n2.k >= {least} then (p.a is not null)::int else (p.a is not null)::int + (p.b is not null)::int end as steps, coalesce(n2.k < {least}, true) as alone,
+ case when n3.k >= {least} then ln(n3.k / ab.k::double) when n2.k >= {least} then ln(n2.k / b1.k::double) else ln(n1.k / (select count(*) from p)::double) end as v
+ from p join n1 on n1.c = p.c left join n2 on n2.b = p.b and n2.c = p.c left join n3 on n3.a = p.a and n3.b = p.b and n3.c = p.c left join n2 ab on ab.b = p.a and ab.c = p.b left join n1 b1 on b1.c = p.b),
+t as (select r, count(*) as n_words, count(*) filter (alone) as n_alone, sum(steps)::bigint as n_backoff, avg(v + steps * ln({backoff}::double)) as score from s group by 1)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_alone, 0) as n_alone, coalesce(n_backoff, 0) as n_backoff, round(coalesce(score, 0), 6) as score from d left join t using (r)"""
+
+
+SQL = {"op3_mix_sources": mix_sql(), "op4_secret_scan": secret_sql(), "op7_lm_score": lm_sql(), "op10_quality_rules": rules_sql()}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import decontam, html_text, langid, lm_score, mixing, oracle, quality_classifier, quality_rules, secret_scan, simhash, token_counts
-from linkloom.llm.common import shared_folder
+from linkloom.shared import shared_folder
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("LINKLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -50,7 +50,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"), stable=True)
+    found = lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
