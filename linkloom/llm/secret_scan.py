@@ -5,7 +5,8 @@ ever scanned, the findings. `scan_unseen` groups the paths' texts by name, drops
 has, and runs the rules once a blob; `findings_by_path` joins the ledger back to every path.
 
 A rule's matches come from the pieces that `split` leaves between them: piece and match lengths, summed
-in order, give each match's start and end in code points. Blobs without a match make no rows there.
+in order, give each match's start and end in code points. A rule takes a text apart only after a plain
+search has found a match in it. `redact` shuffles only texts with a match; the others pass in the scan.
 
 Defined results: null text counts as empty; empty texts and tables give no findings (the digest of an
 empty list is SHA-256 of the empty string); copies and repeated rows share one blob and each get its
@@ -16,11 +17,14 @@ reduced to one a blob before the shuffle, and its findings are spread over the s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import salt_mask, salt_of, salts_in
+from linkloom.llm.common import free_names
+from linkloom.shared import salt_mask, salt_of, salts_in
 
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -61,6 +65,12 @@ def path_blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text")).withColumn("salt", salt_of("doc_id"))
 
 
+def _found(rule: Rule, text: Column) -> Column:
+    """Whether the rule's pattern matches anywhere in the text."""
+    found = F.regexp_like(text, F.lit(rule.pattern))
+    return F.contains(text, F.lit(rule.hint)) & found if rule.hint else found
+
+
 def _matches(rule: Rule, nth: int) -> Column:
     """Array of (kind number, match number, length before the match, length, length of its group)."""
     size = lambda a: F.transform(a, lambda x: F.length(x))
@@ -71,7 +81,7 @@ def _matches(rule: Rule, nth: int) -> Column:
     )
     rows = F.transform(found, lambda x, i: F.struct(F.lit(nth).alias("rule"), i.alias("i"), x["gap"].alias("gap"), x["n"].alias("n"), x["g"].alias("g")))
     rows = F.filter(rows, lambda x: x["n"].isNotNull())
-    return F.when(F.contains(F.col("text"), F.lit(rule.hint)), rows) if rule.hint else rows
+    return F.when(_found(rule, F.col("text")), rows)
 
 
 def scan_unseen(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
@@ -135,15 +145,19 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     """`docs`, same columns, with every found span of `text_col` replaced by [kind]. Spans that overlap
     become one, named after the first. Null texts stay null. Blobs that `ledger` has take its spans."""
     names = docs.columns
-    whole = docs.withColumns({"_blob": F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), "_salt": salt_of(id_col)})
-    found = spans_of(whole.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_salt").alias("salt")), ledger, rules, version)
-    found = found.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.explode(salts_in(F.col("mask"))).alias("_salt"), F.col("spans").alias("_spans"))
-    met = whole.join(found, ["_blob", "_salt"], "left")
+    blob, salt, spans = free_names(docs, "blob", "salt", "spans")
+    # A text without a match has no span, so the ledger needn't be asked.
+    hit = reduce(or_, [_found(r, F.coalesce(F.col(text_col), F.lit(""))) for r in rules])
+    dirty = docs.filter(hit).withColumns({blob: F.sha2(F.col(text_col).cast("binary"), 256), salt: salt_of(id_col)})
+    found = spans_of(dirty.select(F.col(blob).alias("blob"), F.col(text_col).alias("text"), F.col(salt).alias("salt")), ledger, rules, version)
+    found = found.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.explode(salts_in(F.col("mask"))).alias(salt), F.col("spans").alias(spans))
+    met = dirty.join(found, [blob, salt], "left")
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     text = F.col(text_col)
     step = lambda acc, s: F.struct(
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.element_at(kinds, s["rule"] + 1), F.lit("]"))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], s["end"].cast("int")).alias("at"),
     )
-    clean = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return met.select(*[F.when(F.col("_spans").isNull() | text.isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(c) for c in names])
+    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    redacted = met.select(*[F.coalesce(clean, text).alias(c) if c == text_col else F.col(c) for c in names])
+    return docs.filter(~hit).union(redacted)
