@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import shared_table
+from linkloom.llm.common import keys_to_send
+from linkloom.shared import shared_table
 
 MOST_ROWS, FIT_PARTS = 100_000, 16
 FEATURES, RIDGE, SEED, STEPS = 300, 1e-3, 11, 1_000
@@ -127,13 +128,18 @@ def _pool(at: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return p[:, 0] / p[:, 2], p[:, 1] / p[:, 2]
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", held_out: int = 2, most_rows: int = MOST_ROWS) -> Model:
-    """A model from labelled rows whose fold isn't `held_out`; `stats` from `table_of_statistics`."""
+def chosen_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", held_out: int = 2, most_rows: int = MOST_ROWS) -> DataFrame:
+    """doc_id and mean label y of the rows for the fit: fold not `held_out`, about `most_rows` of them at most."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(label_col).alias("y"))
     known = known.filter(fold() != held_out)
     share = min(1.0, most_rows / max(1, known.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = stats.join(known.filter(place < int(share * (1 << 30))), "doc_id")
+    return shared_table(known.filter(place < int(share * (1 << 30))), "quality-labels")
+
+
+def fit(stats: DataFrame, known: DataFrame) -> Model:
+    """A model from `stats` (`table_of_statistics`) of the rows in `known` (`chosen_labels`)."""
+    rows = stats.join(known, "doc_id")
     rows = shared_table(rows.select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FIT_PARTS)).alias("part"), (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(4)) == 0).alias("calibrate")), "quality-fit")
 
     one = rows.select(*[F.col("x")[i].cast("double").alias(f"s{i}") for i in range(SIZE)])
@@ -183,16 +189,17 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2, accept: float = ACCEPT, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     stats = shared_table(table_of_statistics(docs, id_col, text_col), "quality-stats")
-    model = fit(stats, labels, id_col=id_col, label_col=label_col, held_out=held_out, most_rows=most_rows)
+    model = fit(stats, chosen_labels(labels, id_col=id_col, label_col=label_col, held_out=held_out, most_rows=most_rows))
     scored = score(stats, model)
     return scored.select("doc_id", F.coalesce(fold() == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 2, accept: float = ACCEPT, most_rows: int = MOST_ROWS) -> DataFrame:
-    """The rows of `docs`, same columns, that the classifier accepts. Texts are read twice and never
-    shuffled: once for the fit, once to score and filter in place."""
-    stats = shared_table(table_of_statistics(docs, id_col, text_col), "quality-stats")
-    model = fit(stats, labels, id_col=id_col, label_col=label_col, held_out=held_out, most_rows=most_rows)
+    """The rows of `docs`, same columns, that the classifier accepts. Texts are never shuffled: those of the
+    chosen labels give statistics for the fit, then a second pass scores and filters in place."""
+    known = chosen_labels(labels, id_col=id_col, label_col=label_col, held_out=held_out, most_rows=most_rows)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = fit(table_of_statistics(own.join(keys_to_send(known), "doc_id")), known)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
