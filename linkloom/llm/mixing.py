@@ -14,7 +14,8 @@
 Defined results: null text has size 0; null source is a source of its own; empty tables give no rows;
 repeated rows are documents of their own; a source without words has target 0. Other columns are
 ignored. Only one table of sources and one of (source, shard) pairs pass through windows; documents
-meet their quota by a join on (source, shard), of which no pair is hot.
+meet their quota by a join on (source, shard), of which no pair is hot while rows differ in id or, without an
+id, in text: a row's place on the line comes from those. One id that very many rows repeat is one shard's.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WORD, shared_table
+from linkloom.llm.common import WORD
+from linkloom.shared import shared_table
 
 #: Words a shard holds on average, and the number of shards at most (a grain of work, not a cut).
 SHARD_WORDS, MAX_SHARDS = 65_536, 4_096
@@ -35,7 +37,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         F.col(source_col).isNull().alias("no_src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("place"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))))).alias("place"),
     )
 
 
