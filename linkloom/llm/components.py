@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import drop_shared, salt_mask, salt_of, salts_in, shared_table
+from linkloom.shared import drop_shared, salt_mask, salt_of, salts_in, shared_table
 
 
 def _least(links: DataFrame) -> DataFrame:

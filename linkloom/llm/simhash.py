@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import bitslice
-from linkloom.llm.common import salt_mask, salt_of, salts_in, shared_table
 from linkloom.llm.components import components
+from linkloom.shared import salt_mask, salt_of, salts_in, shared_table
 
 BLOCK = 32_768
 SEED = 42

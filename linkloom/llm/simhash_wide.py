@@ -4,7 +4,7 @@
 five-word shingles have a Jaccard similarity of 0.8 differ in about 15 % of a SimHash's bits, so this
 form takes `BITS` bits: the signs of a randomised Hadamard transform of a count sketch of the shingles.
 
-1. Equal sets of shingles, by SHA-256, become one node (the smallest doc_id). Fingerprints of few shingles
+1. Equal sets of shingles, by SHA-256, become one numbered node. Fingerprints of few shingles
    hold little: pairs with a text of less than `SHORT` are found exactly, by their first shingles in the
    order of hashes and then their whole sets. What follows is for the other nodes.
 2. Nodes meet in blocks: `BANDS` bands of 16 bits, one row a band. At a similarity of 0.8 two texts share
@@ -19,8 +19,9 @@ form takes `BITS` bits: the signs of a randomised Hadamard transform of a count
    shingles of the two documents decide.
 5. `components` closes the links; the smallest doc_id of a group stays.
 
-Defined results: texts without a word are one group; rows with a null id are left alone; rows that repeat
-an id are one document, one row of which stays; an empty table gives an empty table.
+Defined results: texts without a word are one group; rows with a null id are left alone; rows that repeat an
+id and a text are one document, of which one row stays; rows that repeat an id with other texts are documents
+of their own; an empty table gives an empty table; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import bitslice
-from linkloom.llm.common import salt_mask, salt_of, salts_in, shared_table
+from linkloom.llm.common import free_names, keys_to_send
 from linkloom.llm.components import components
 from linkloom.llm.simhash import cut_blocks, shingle_hashes
+from linkloom.shared import salt_mask, salt_of, salts_in, shared_table
 
 WORDS, SIMILARITY, SLACK = 5, 0.8, 0.06
 SKETCH, BITS, BANDS, SCREEN, NEAR = 4_096, 2_048, 64, 128, 32
@@ -72,23 +74,27 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, fp, number and digest of the distinct shingles; and all of them if a text of less than SHORT can be similar."""
+    """doc_id, tag (a hash of the text), fp, number and digest of the distinct shingles; and all of them if a
+    text of less than SHORT can be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, TOGETHER):
                 part = b.slice(a, TOGETHER)
-                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(1)]
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(2)]
                 fp = [r.tobytes() for r in wide_fingerprints(sets)]
                 digest = [hashlib.sha256(h.tobytes()).digest() for h in sets]
                 short = [h.view(np.int64) if len(h) * similarity < SHORT else None for h in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(fp, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(short, pa.list_(pa.int64()))],
-                    ["doc_id", "fp", "size", "digest", "short"],
+                    [part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array([len(h) for h in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(short, pa.list_(pa.int64()))],
+                    ["doc_id", "tag", "fp", "size", "digest", "short"],
                 )
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return given.filter("doc_id is not null").mapInArrow(run, "doc_id long, fp binary, size long, digest binary, short array<long>")
+    return _rows(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(run, "doc_id long, tag long, fp binary, size long, digest binary, short array<long>")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("tag"), F.col(text_col).cast("binary").alias("text"))
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,27 +252,28 @@ def estimated_links(nodes: DataFrame, similarity: float, slack: float, block: in
     return both.dropDuplicates(["a", "b"])
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """node and its distinct shingle hashes, for the documents in `ids` (node)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """node and its distinct shingle hashes, from the documents in `wanted` (node, doc_id, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    given = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    own = given.join(ids, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    own = _rows(docs, id_col, text_col).join(keys_to_send(wanted), ["doc_id", "tag"]).select("node", "text").mapInArrow(run, "node long, shingles array<long>")
     return own.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, slack: float, id_col: str, text_col: str, words: int, block: int = BLOCK) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, similarity: float, slack: float, id_col: str, text_col: str, words: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links of at least `similarity`. Estimates further than `slack` from it decide; the others
-    are settled by the documents' whole shingle sets."""
+    are settled by the whole shingle sets of a document of each node."""
     links = shared_table(estimated_links(nodes, similarity, slack, block), "wide-links")
     sure = links.filter(F.col("estimate") >= similarity + slack).select("a", "b")
     close = links.filter(F.col("estimate") < similarity + slack).select("a", "b")
     ids = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    sets = shared_table(shingle_sets(docs, ids, id_col, text_col, words), "wide-sets")
+    own = ids.join(nodes.select("node", "digest", F.col("first").alias("doc_id")), "node").join(prints.select("digest", "doc_id", "tag"), ["digest", "doc_id"])
+    wanted = shared_table(own.groupBy("node", "doc_id").agg(F.min("tag").alias("tag")), "wide-wanted")
+    sets = shared_table(shingle_sets(docs, wanted, id_col, text_col, words), "wide-sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
     met = close.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -305,27 +312,46 @@ def short_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> Data
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, slack: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id and digest of every document; and every node with its group."""
-    prints = shared_table(fingerprints(docs, id_col, text_col, words, similarity), "wide").withColumn("salt", salt_of("doc_id"))
-    nodes = prints.groupBy("digest", "fp", "size", "short").agg(F.min("doc_id").alias("node"), salt_mask(F.col("salt")).alias("mask"))
-    nodes = shared_table(nodes, "wide-nodes")
-    long = similar_links(docs, nodes.filter(F.col("size") >= SHORT), similarity, slack, id_col, text_col, words, block)
+    """Fingerprints of every document; and every node with its group: digest, first (its smallest doc_id) and root."""
+    prints = shared_table(fingerprints(docs, id_col, text_col, words, similarity), "wide").withColumn("salt", salt_of("doc_id", "tag"))
+    nodes = prints.groupBy("digest", "fp", "size", "short").agg(F.min("doc_id").alias("first"), salt_mask(F.col("salt")).alias("mask"))
+    nodes = shared_table(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")  # numbered once, when written
+    long = similar_links(docs, prints, nodes.filter(F.col("size") >= SHORT), similarity, slack, id_col, text_col, words, block)
     found = components(long.union(short_links(nodes.filter("size > 0 and short is not null"), similarity, block)), "a", "b")
-    return prints, nodes.join(found, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
+    return prints, nodes.join(found, "node", "left").select("digest", "first", "mask", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
-    """doc_id and component_id of every document with an id."""
+    """doc_id and component_id, the smallest doc_id of its group, of every row with an id."""
     prints, nodes = _grouped(docs, id_col, text_col, words, similarity, slack, block)
-    spread = nodes.select("digest", "component_id", F.explode(salts_in(F.col("mask"))).alias("salt"))
+    nodes = shared_table(nodes, "wide-grouped")
+    named = nodes.withColumn("salt", salt_of("digest"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), salt_mask(F.col("salt")).alias("salts"))
+    named = named.join(least.select("root", "component_id", F.explode(salts_in(F.col("salts"))).alias("salt")), ["root", "salt"])
+    spread = named.select("digest", "component_id", F.explode(salts_in(F.col("mask"))).alias("salt"))
     return prints.select("doc_id", "digest", "salt").join(spread, ["digest", "salt"]).select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, slack: float = SLACK, block: int = BLOCK) -> DataFrame:
-    """`docs`, same columns, with the document of smallest id of each group."""
+    """`docs`, same columns, with one document of each group: that of smallest id, then by hashes of its text.
+    What goes is decided on narrow tables of (id, text hash); texts are only shuffled when the table of
+    those that go is too large to be sent to the scans."""
     prints, nodes = _grouped(docs, id_col, text_col, words, similarity, slack, block)
-    stay = nodes.filter("node = component_id").select(F.col("node").alias("_stay"))
-    gone = shared_table(prints.select(F.col("doc_id").alias("_gone")).distinct().join(stay, F.col("_gone") == F.col("_stay"), "left_anti").select("_gone"), "wide-gone")
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    once = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    return left.withColumn("_once", once).dropDuplicates([id_col, "_once"]).drop("_once")
+    rows = prints.groupBy("doc_id", "tag", "digest").agg(F.count("*").alias("n"))
+    stay = nodes.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("best")).select(F.col("best.first").alias("doc_id"), F.col("best.digest").alias("digest"))
+    rows = shared_table(rows.join(stay.withColumn("best", F.lit(True)), ["doc_id", "digest"], "left"), "wide-rows")
+    kept = rows.filter("best").groupBy("doc_id", "digest").agg(F.min("tag").alias("tag"))
+    gone = rows.join(kept, ["doc_id", "digest", "tag"], "left_anti")
+
+    id_, tag, key, text = free_names(docs, "id", "tag", "key", "text_hash")
+    named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("tag").alias(tag))
+    gone = keys_to_send(shared_table(named(gone), "wide-gone"))
+    again = shared_table(named(rows.filter("n > 1").join(kept, ["doc_id", "digest", "tag"])), "wide-again")
+    whole = docs.withColumns({key: F.col(id_col).cast("long"), text: F.xxhash64(F.col(text_col).cast("binary"))})
+    left = whole.join(gone, (F.col(key) == gone[id_]) & (F.col(text) == gone[tag]), "left_anti")
+    if not again.head(1):
+        return left.select(docs.columns)
+    met = (F.col(key) == again[id_]) & (F.col(text) == again[tag])
+    own = Window.partitionBy(key, text).orderBy(F.xxhash64(*docs.columns))
+    one = left.join(again, met, "left_semi").withColumn(id_, F.row_number().over(own)).filter(F.col(id_) == 1)
+    return left.join(again, met, "left_anti").select(docs.columns).union(one.select(docs.columns))
