@@ -11,12 +11,12 @@ form takes `BITS` bits: the signs of a randomised Hadamard transform of a count
    at least one band with a probability of 0.99, and of more than 0.9999 from 0.87 on.
 3. In a block the first `SCREEN` bits are compared bit-sliced within `NEAR` bits (three standard
    deviations beyond what 0.8 gives). A row with at most `FEW` near rows makes a pair with each. Crowded
-   rows, which have more, meet again with all their bits, where the pairs that hold for sure are kept as a
-   spanning forest, and the undecided ones between its trees in full: no pair goes untested. Blocks above
-   `BLOCK` rows are compared by pairs of sub-blocks.
-4. All bits and both sizes give an estimate of the similarity with a standard deviation of 0.02. Links
-   `SLACK` above the wanted similarity hold, links as far below fall, and between them the whole sets of
-   shingles of the two documents decide.
+   rows, which have more, meet again with all their bits. Blocks above `BLOCK` rows are compared by pairs of
+   sub-blocks.
+4. All bits and both sizes give an estimate of the similarity with a standard deviation of 0.02. Pairs down
+   to `SLACK` below the wanted similarity close to loose groups, of crowded rows by a spanning forest. In a group
+   every pair is compared: those `SLACK` above hold, and rows that have a pair between the two in another tree
+   meet once more with their whole sets of shingles. What leaves a block is a forest, never its pairs.
 5. `components` closes the links; the smallest doc_id of a group stays.
 
 Defined results: texts without a word are one group; rows with a null id are left alone; rows that repeat an
@@ -173,13 +173,12 @@ def estimate(fp: tuple[np.ndarray, np.ndarray], size: tuple[np.ndarray, np.ndarr
     return both / np.maximum(1e-9, size[0] + size[1] - both)
 
 
-def block_links(test: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, least: float, sure: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, other, score) of a block of `n` rows that `test` scores, rows against rows: a spanning forest of
-    the pairs from `sure` on, and all pairs from `least` on between its trees. Breadth first, each row once:
-    when a tree is done, its rows have met every row of all later trees."""
+def block_links(test: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other, score): a spanning forest of the pairs from `least` on in a block of `n` rows that `test` scores,
+    rows against rows. Breadth first, each row once: a row that is linked is never tried again."""
     left = np.arange(n)
     while len(left) > 1:
-        todo, left, open_pairs = [left[:1]], left[1:], []
+        todo, left = [left[:1]], left[1:]
         while todo and len(left):
             rows = todo.pop()
             for a in range(0, len(rows), QUERIES):
@@ -188,18 +187,12 @@ def block_links(test: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, le
                     break
                 score = test(q, left)
                 best = score.argmax(0)
-                hit = score[best, np.arange(len(left))] >= sure
+                top = score[best, np.arange(len(left))]
+                hit = top >= least
                 if hit.any():
-                    yield q[best[hit]], left[hit], score[best[hit], np.flatnonzero(hit)]
+                    yield q[best[hit]], left[hit], top[hit]
                     todo.append(left[hit])
-                score, left = score[:, ~hit], left[~hit]
-                i, j = np.nonzero(score >= least)
-                open_pairs.append((q[i], left[j], score[i, j]))
-        if open_pairs:
-            i, j, score = (np.concatenate(x) for x in zip(*open_pairs, strict=True))
-            apart = np.isin(j, left)
-            if apart.any():
-                yield i[apart], j[apart], score[apart]
+                    left = left[~hit]
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -219,24 +212,28 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def crowded_links(crowd: DataFrame, nodes: DataFrame, least: float, sure: float) -> DataFrame:
-    """(a, b, estimate): `block_links` of each block's crowded rows by all bits."""
+def _prints_of(x: pa.Table) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+    """A block's nodes, and the estimate of rows against rows."""
+    size = x["size"].to_numpy().astype(float)
+    fp = np.frombuffer(b"".join(x["fp"].to_pylist()), np.uint64).reshape(len(size), -1)
+    return x["node"].to_numpy(), lambda q, o: estimate((fp[q, None], fp[None, o]), (size[q, None], size[None, o]))
+
+
+def crowded_links(crowd: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b): `block_links` of each block's crowded rows by all bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in blocks_of(batches):
-            node, size = x["node"].to_numpy(), x["size"].to_numpy().astype(float)
-            fp = np.frombuffer(b"".join(x["fp"].to_pylist()), np.uint64).reshape(len(node), -1)
-            test = lambda q, o: estimate((fp[q, None], fp[None, o]), (size[q, None], size[None, o]))  # noqa: B023, E731
-            for i, j, score in block_links(test, len(node), least, sure):
-                yield pa.RecordBatch.from_arrays([pa.array(f(node[i], node[j])) for f in (np.minimum, np.maximum)] + [pa.array(score)], ["a", "b", "estimate"])
+            node, test = _prints_of(x)
+            for i, j, _ in block_links(test, len(node), least):
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[i], node[j])) for f in (np.minimum, np.maximum)], ["a", "b"])
 
     rows = crowd.distinct().join(nodes.select("node", "fp", "size"), "node").select("key", "node", "fp", "size")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, estimate double")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def estimated_links(nodes: DataFrame, similarity: float, slack: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, estimate): near pairs whose estimate is at least `similarity` - `slack`, all but those that
-    connect crowded rows of one block which pairs from `similarity` + `slack` on connect already."""
+def loose_links(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): near pairs whose estimate is at least `least`, or of crowded rows of a block a spanning forest of them."""
     links, crowd = candidates(nodes, block)
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp"), F.col("size").alias(f"{c}_size"))
     met = links.join(side("a"), "a").join(side("b"), "b")
@@ -245,11 +242,65 @@ def estimated_links(nodes: DataFrame, similarity: float, slack: float, block: in
         for x in batches:
             fp = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(x.num_rows, BITS // 64) for c in (2, 3)]
             size = [x.column(c).to_numpy().astype(float) for c in (4, 5)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(estimate(fp, size))], ["a", "b", "estimate"])
+            held = np.flatnonzero(estimate(fp, size) >= least)
+            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(held)), x.column(1).take(pa.array(held))], ["a", "b"])
+
+    few = met.select("a", "b", "a_fp", "b_fp", "a_size", "b_size").mapInArrow(run, "a long, b long")
+    return few.union(crowded_links(crowd, nodes, least)).distinct()
+
+
+def sure_links(members: DataFrame, least: float, sure: float) -> DataFrame:
+    """Of the groups (key) of members (key, node, fp, size): links (a, b), a spanning forest of the pairs estimated at
+    `sure` or more; and (key, node, tree) of the rows that have a pair between `least` and `sure` in another tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in blocks_of(batches):
+            node, test = _prints_of(x)
+            tree = np.arange(len(node))
+            for i, j, _ in block_links(test, len(node), sure):
+                tree[j] = tree[i]
+                yield _links_and_rows(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
+            if (tree == 0).all():
+                continue
+            open_ = np.zeros(len(node), bool)
+            for q in range(len(node)):
+                other = np.flatnonzero(tree[q + 1 :] != tree[q]) + q + 1
+                near = other[test(np.array([q]), other)[0] >= least] if len(other) else other
+                open_[near] = True
+                open_[q] |= len(near) > 0
+            yield _links_and_rows(key=x["key"].to_numpy()[open_], node=node[open_], tree=node[tree[open_]])
+
+    return members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long, node long, tree long")
 
-    few = met.select("a", "b", "a_fp", "b_fp", "a_size", "b_size").mapInArrow(run, "a long, b long, estimate double")
-    both = few.filter(F.col("estimate") >= similarity - slack).union(crowded_links(crowd, nodes, similarity - slack, similarity + slack))
-    return both.dropDuplicates(["a", "b"])
+
+def _links_and_rows(a: np.ndarray | None = None, b: np.ndarray | None = None, key: np.ndarray | None = None, node: np.ndarray | None = None, tree: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(a if a is not None else key)
+    cols = [pa.nulls(n, pa.int64()) if c is None else pa.array(c.astype(np.int64)) for c in (a, b, key, node, tree)]
+    return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "node", "tree"])
+
+
+def exact_links(rows: DataFrame, similarity: float, least: float) -> DataFrame:
+    """(a, b): of rows (key, node, tree, fp, size, shingles), a spanning forest of each key's pairs that share a
+    tree or, estimated at `least` or more, have whole sets of that similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in blocks_of(batches):
+            node, guess = _prints_of(x)
+            tree = x["tree"].to_numpy()
+            sets = [s.view(np.uint64) for c in x["shingles"].chunks for s in c.to_numpy(zero_copy_only=False)]
+
+            def test(q: np.ndarray, o: np.ndarray) -> np.ndarray:
+                score = (tree[q, None] == tree[None, o]).astype(float)  # noqa: B023
+                for k, r in zip(*np.nonzero((score == 0) & (guess(q, o) >= least)), strict=True):  # noqa: B023
+                    own, other = sets[q[k]], sets[o[r]]  # noqa: B023
+                    both = (other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum()
+                    score[k, r] = both >= similarity * (len(own) + len(other) - both)
+                return score
+
+            for i, j, _ in block_links(test, len(node), 1):
+                yield pa.RecordBatch.from_arrays([pa.array(f(node[i], node[j])) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+    return rows.select("key", "node", "tree", "fp", "size", "shingles").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -265,20 +316,21 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, similarity: float, slack: float, id_col: str, text_col: str, words: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links of at least `similarity`. Estimates further than `slack` from it decide; the others
-    are settled by the whole shingle sets of a document of each node."""
-    links = shared_table(estimated_links(nodes, similarity, slack, block), "wide-links")
-    sure = links.filter(F.col("estimate") >= similarity + slack).select("a", "b")
-    close = links.filter(F.col("estimate") < similarity + slack).select("a", "b")
-    ids = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    own = ids.join(nodes.select("node", "digest", F.col("first").alias("doc_id")), "node").join(prints.select("digest", "doc_id", "tag"), ["digest", "doc_id"])
+    """(a, b): links of at least `similarity`, all that connect them. Estimates further than `slack` from it decide; the
+    others are settled by the whole shingle sets of a document of each node."""
+    least, sure = similarity - slack, similarity + slack
+    groups = components(loose_links(nodes, least, block), "a", "b")
+    members = shared_table(groups.union(groups.select("root", "root")).distinct(), "wide-groups").withColumnRenamed("root", "key")
+    rows = nodes.join(members, "node").select("key", "node", "fp", "size")
+    if members.groupBy("key").count().filter(F.col("count") > block).head(1):
+        rows = cut_blocks(rows, ["key"], block).withColumn("key", F.xxhash64("key", "sub")).drop("sub")
+    found = shared_table(sure_links(rows, least, sure), "wide-sure")
+    open_ = found.filter("node is not null").select("key", "node", "tree")
+    own = open_.select("node").distinct().join(nodes.select("node", "digest", F.col("first").alias("doc_id")), "node").join(prints.select("digest", "doc_id", "tag"), ["digest", "doc_id"])
     wanted = shared_table(own.groupBy("node", "doc_id").agg(F.min("tag").alias("tag")), "wide-wanted")
     sets = shared_table(shingle_sets(docs, wanted, id_col, text_col, words), "wide-sets")
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    met = close.join(side("a"), "a").join(side("b"), "b")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    held = met.filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both))
-    return sure.union(held.select("a", "b"))
+    exact = exact_links(open_.join(nodes.select("node", "fp", "size"), "node").join(sets, "node"), similarity, least)
+    return found.filter("a is not null").select("a", "b").union(exact)
 
 
 def short_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -304,7 +356,7 @@ def short_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> Data
                 both = np.stack([np.bincount(np.concatenate([having[begin[k] : begin[k + 1]] for k in own[i]]), minlength=len(node))[o] for i in q])  # noqa: B023
                 return both >= similarity * (size[q, None] + size[None, o] - both)  # noqa: B023
 
-            for i, j, _ in block_links(test, len(node), 1, 1):
+            for i, j, _ in block_links(test, len(node), 1):
                 yield pa.RecordBatch.from_arrays([pa.array(f(node[i], node[j])) for f in (np.minimum, np.maximum)], ["a", "b"])
 
     rows = rows.select("key", "node", "short").repartition("key").sortWithinPartitions("key", "node")
