@@ -285,22 +285,20 @@ def lm_brute(texts, order=3, least=2, backoff=0.4):
 
 
 def test_lm_score(spark, sf, monkeypatch):
-    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 5_000)
+    monkeypatch.setattr(lm_score, "RUN", 700)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ODD[:7] + ["a b a b a b", "a b c"] * 2
-    got = {r.doc_id: r.score for r in lm_score.score_documents(docs(spark, texts).repartition(3)).collect()}
-    assert got == pytest.approx(dict(enumerate(lm_brute(texts))))
+    d = docs(spark, texts).repartition(3)
+    d = d.unionByName(d.filter("doc_id = 3")).unionByName(d.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    want = lm_brute([*texts, texts[3], texts[4]])
+    for hot in (lm_score.HOT, 50):
+        monkeypatch.setattr(lm_score, "HOT", hot)
+        got = lm_score.score_documents(d).collect()
+        assert {r.doc_id: r.score for r in got} == pytest.approx(dict(enumerate(want[:-2])) | {None: want[-1]})
+        assert len(got) == len(texts) + 2 and sum(r.doc_id == 3 for r in got) == 2
+        assert all(r.n_words == len((texts[r.doc_id] or "").split()) for r in got if r.doc_id is not None)
     assert lm_score.score_documents(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("hashes", [[], [5], [1, 2, 3], [7, 7 + (1 << 33), 8 + (1 << 34)]])
-def test_lm_packing(hashes):
-    h = np.array(hashes, np.uint64)
-    if len(h):
-        assert (lm_score._unpack_hashes(lm_score._pack_hashes(h)) == h).all()
-    n = np.array([1, 254, 255, 256, 10**12][: len(h)], np.int64)
-    assert (lm_score._unpack_counts(lm_score._pack_counts(n)) == n).all()
-
-
 def test_token_counts(spark, tmp_path):
     t = token_counts.Tokenizer.read(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", "bpe")
     encode = t.encoding().encode_ordinary
