@@ -14,10 +14,14 @@ def any_of(tests: list[Column]) -> Column:
     return out
 
 
-def tokenize(text: str) -> list[str]:
-    """Query tokens: runs of letters, digits, '_' and '-' (ASCII), lower case."""
+def cased(text: str, case: bool) -> str:
+    return text if case else text.lower()
+
+
+def tokenize(text: str, case: bool = False) -> list[str]:
+    """Query tokens: runs of letters, digits, '_' and '-' (ASCII), lower case unless case counts."""
     out, now = [], ""
-    for ch in text.lower() + " ":
+    for ch in cased(text, case) + " ":
         if ch.isascii() and (ch.isalnum() or ch in "_-"):
             now += ch
         elif now:
@@ -54,16 +58,18 @@ def coverage(text: Column, query: list[str]) -> Column:
 FOLDED = ("id", "stem", "path", "title", "search_text")
 
 
-def folded(notes: DataFrame) -> DataFrame:
-    """`notes` with lower-case copies of what the scores read, and the two texts that tokens are looked up in."""
-    notes = notes.withColumns({f"low_{c}": F.lower(c) for c in FOLDED} | {"low_tags": F.transform("tags", lambda x: F.lower(x))})
+def folded(notes: DataFrame, case: bool = False) -> DataFrame:
+    """`notes` with lower-case copies of what the scores read (plain ones if case counts), and the two texts that
+    tokens are looked up in."""
+    low = F.col if case else F.lower
+    notes = notes.withColumns({f"low_{c}": low(c) for c in FOLDED} | {"low_tags": F.col("tags") if case else F.transform("tags", lambda x: F.lower(x))})
     whole = F.concat_ws(" ", "low_id", "low_stem", "low_path", "low_title", F.array_join("low_tags", " "), "low_search_text")
     return notes.withColumns({"low_blob": whole, "low_names": F.concat_ws(" ", "low_path", "low_id", "low_stem", "low_title")})
 
 
-def document_score(query: str) -> Column:
+def document_score(query: str, case: bool = False) -> Column:
     """Full-text score of a note with `folded` columns."""
-    q, words = query.strip().lower(), tokenize(query)
+    q, words = cased(query.strip(), case), tokenize(query, case)
     if not q:
         return F.lit(0.0)
     i, s, p, t, text = (F.col(f"low_{c}") for c in FOLDED)
@@ -84,21 +90,21 @@ def document_score(query: str) -> Column:
     return clamp(F.greatest(score, F.when(r > 0, covered).otherwise(0.0)))
 
 
-def exact_score(query: str) -> Column:
-    q = query.strip().lower()
+def exact_score(query: str, case: bool = False) -> Column:
+    q = cased(query.strip(), case)
     i, s, p, t, text = (F.col(f"low_{c}") for c in FOLDED)
     tags = F.col("low_tags")
     return F.when((i == q) | (s == q), 1.0).when(t == q, 0.95).when(F.array_contains(tags, q), 0.85).when(has(p, q), 0.8).when(has(text, q), 0.75).otherwise(0.0)
 
 
-def regex_score(pattern: str) -> Column:
+def regex_score(pattern: str, case: bool = False) -> Column:
     """The path counts before the tags, as the scorer's order has it."""
-    m = lambda c: F.rlike(c, F.lit(f"(?i){pattern}"))
+    m = lambda c: F.rlike(c, F.lit(pattern if case else f"(?i){pattern}"))
     return F.when(m(F.col("id")) | m(F.col("stem")), 1.0).when(m(F.col("title")), 0.95).when(m(F.col("path")), 0.8).when(F.exists("tags", m), 0.85).when(m(F.col("search_text")), 0.75).otherwise(0.0)
 
 
-def path_score(query: str) -> Column:
-    q, words = query.strip().lower(), tokenize(query)
+def path_score(query: str, case: bool = False) -> Column:
+    q, words = cased(query.strip(), case), tokenize(query, case)
     if not q:
         return F.lit(0.0)
     i, s, p, t = (F.col(f"low_{c}") for c in FOLDED[:4])
@@ -110,12 +116,12 @@ def path_score(query: str) -> Column:
     ))
 
 
-def section_score(query: str) -> Column:
+def section_score(query: str, case: bool = False) -> Column:
     """Score of a section from heading_title, heading_level, section_text."""
-    q, words = query.strip().lower(), tokenize(query)
+    q, words = cased(query.strip(), case), tokenize(query, case)
     if not q:
         return F.lit(1.0)
-    h, body = F.lower("heading_title"), F.lower("section_text")
+    h, body = (F.col(c) if case else F.lower(c) for c in ("heading_title", "section_text"))
     base = F.when(h == q, 1.0).when(has(h, q), 0.92).when(has(body, q), 0.72).otherwise(0.0)
     by_token = 0.75 * coverage(h, words) + 0.40 * coverage(body, words)
     score = F.greatest(base, by_token)

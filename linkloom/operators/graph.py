@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from linkloom.shared import shared_table
 
-#: Rounds of a walk between two written tables.
-CUT = 3
+#: Rounds of a walk between two written tables; digits that ranks keep, so that the order of sums shows in none.
+CUT, DIGITS = 3, 9
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -21,22 +21,21 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(back).filter("src <> dst").distinct()
 
 
-def _steps(edges: DataFrame, direction: str) -> DataFrame:
-    if direction == "out":
-        return edges.select("src", "dst").distinct()
-    if direction == "in":
-        return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    return undirected(edges)
+def _reached(front: DataFrame, edges: DataFrame, direction: str) -> DataFrame:
+    """(id): what a step from `front` (id) reaches. The frontier meets the links as they are stored, each way, so a
+    small one is sent to the scans and no link is shuffled."""
+    way = lambda a, b: front.join(edges.select(F.col(a).alias("id"), F.col(b).alias("_to")), "id").select(F.col("_to").alias("id"))
+    out, back = way("src", "dst"), way("dst", "src")
+    return {"out": out, "in": back}.get(direction, out.union(back)).distinct()
 
 
 def distances(edges: DataFrame, seeds: DataFrame, direction: str = "both", most: int = 2) -> DataFrame:
     """(id, distance): fewest steps from any seed (id), up to `most`; seeds have distance 0."""
-    step = _steps(edges, direction)
     seen = seeds.select("id").distinct().withColumn("distance", F.lit(0))
     front = seen
     for d in range(1, most + 1):
-        new = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(d))
-        if 1 < d < most:
+        new = _reached(front.select("id"), edges, direction).join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(d))
+        if d < most:
             new = shared_table(new, "frontier")
         seen, front = seen.unionByName(new), new
     return seen
@@ -124,25 +123,34 @@ def ppr(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 3
     return rank
 
 
-def related(edges: DataFrame, seeds: DataFrame, most: int = 2, limit: int = 20, alpha: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(id, score, distance) without the seeds: PageRank inside the seeds' horizon, best first."""
+def related(edges: DataFrame, seeds: DataFrame, most: int = 2, limit: int | None = 20, alpha: float = 0.85, rounds: int = 10, tolerance: float = 0.0) -> DataFrame:
+    """(id, score, distance) without the seeds: PageRank inside the seeds' horizon, best first; all without a limit."""
     near = shared_table(distances(edges, seeds, "both", most), "horizon")
-    score = ppr(induced(edges, near), seeds, alpha, rounds)
-    return near.filter("distance > 0").join(score, "id").orderBy(F.desc("score"), "distance", "id").limit(limit)
+    score = ppr(induced(edges, near), seeds, alpha, rounds, tolerance).withColumn("score", F.round("score", DIGITS))
+    found = near.filter("distance > 0").join(score, "id")
+    return found if limit is None else found.orderBy(F.desc("score"), "distance", "id").limit(limit)
 
 
-def related_partitioned(edges: DataFrame, seeds: DataFrame, most: int = 2, limit: int = 20, alpha: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(id, score, distance) without the seeds: PageRank inside each seed's own horizon, restart weights
-    normalised there, and a node's best score over the horizons. All horizons walk in the same plans,
-    keyed by (part, id), so many seeds are no loop and a large horizon is spread over tasks."""
-    step = shared_table(undirected(edges), "part-step")
-    weight = seeds.groupBy("id").agg(F.sum("weight").alias("weight"))
-    near = shared_table(weight.select(F.col("id").alias("part"), "id", F.lit(0).alias("distance")), "part-near")
+def horizons(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
+    """(part, id, distance): every seed's own horizon, named by the seed."""
+    near = shared_table(seeds.select(F.col("id").alias("part"), "id").distinct().withColumn("distance", F.lit(0)), "part-near")
     front = near
     for d in range(1, most + 1):
-        met = front.join(step, F.col("id") == F.col("src")).select("part", F.col("dst").alias("id")).distinct()
+        way = lambda a, b: front.join(edges.select(F.col(a).alias("id"), F.col(b).alias("_to")), "id").select("part", F.col("_to").alias("id"))  # noqa: B023, E731
+        met = way("src", "dst").union(way("dst", "src")).distinct()
         front = shared_table(met.join(near, ["part", "id"], "left_anti").withColumn("distance", F.lit(d)), "part-front")
         near = near.unionByName(front)
+    return near
+
+
+def partitioned_ppr(edges: DataFrame, seeds: DataFrame, most: int, alpha: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(part, id, score) by PageRank inside each seed's own horizon, restart weights (id, weight) normalised there; and
+    the horizons. All walk in the same plans, keyed by (part, id), so many seeds are no loop and a large
+    horizon is spread over tasks."""
+    weight = seeds.groupBy("id").agg(F.sum("weight").alias("weight"))
+    near = horizons(edges, weight, most)
+    ends = near.select("id").distinct()
+    step = undirected(induced(edges, ends))
     links = step.join(near.select("part", F.col("id").alias("src")), "src").join(near.select("part", F.col("id").alias("dst")), ["part", "dst"])
     links = links.join(links.groupBy("part", "src").agg(F.count("*").alias("degree")), ["part", "src"])
     links = shared_table(links.select("part", "src", "dst", "degree"), "part-links")
@@ -155,8 +163,14 @@ def related_partitioned(edges: DataFrame, seeds: DataFrame, most: int = 2, limit
         rank = walk.join(start, ["part", "id"], "full").select("part", "id", ((1 - alpha) * F.coalesce("restart", F.lit(0.0)) + alpha * F.coalesce("walk", F.lit(0.0))).alias("score"))
         if k % CUT == 0 or k == rounds:
             rank = shared_table(rank, "part-rank")
+    return rank, near
+
+
+def related_partitioned(edges: DataFrame, seeds: DataFrame, most: int = 2, limit: int = 20, alpha: float = 0.85, rounds: int = 10) -> DataFrame:
+    """(id, score, distance) without the seeds: a node's best score over the seeds' own horizons."""
+    rank, near = partitioned_ppr(edges, seeds, most, alpha, rounds)
     least = near.groupBy("id").agg(F.min("distance").alias("distance")).filter("distance > 0")
-    return max_fusion(rank).join(least, "id").orderBy(F.desc("score"), "distance", "id").limit(limit)
+    return max_fusion(rank).withColumn("score", F.round("score", DIGITS)).join(least, "id").orderBy(F.desc("score"), "distance", "id").limit(limit)
 
 
 def hybrid_ppr(edges: DataFrame, prior: DataFrame, alpha: float = 0.15, rounds: int = 10) -> DataFrame:
@@ -213,15 +227,15 @@ def coactivation_targets(edges: DataFrame, sources: DataFrame, per_hop: int = 8,
 
 
 def pair_priority(ranks: DataFrame, tags: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """(left, right, priority) of node pairs that share a tag and aren't linked: .7 the mean rank and .3
-    the tag overlap (Jaccard). Pairs come from the `limit` best-ranked nodes, a stated query set."""
+    """(left, right, priority) of pairs of the `limit` best-ranked nodes that aren't linked: .7 the mean rank and .3 the
+    tag overlap (Jaccard). `limit` is the pool of candidates that the caller asks for, and bounds what is sent."""
     top = ranks.orderBy(F.desc("rank"), "id").limit(limit)
-    own = top.join(tags, "id")
-    size = own.groupBy("id").agg(F.count_distinct("tag").alias("n"))
-    side = lambda p: own.select(F.col("id").alias(p), F.col("rank").alias(f"{p}_rank"), "tag")
-    both = side("left").join(side("right"), "tag").filter("left < right").groupBy("left", "right").agg(F.first("left_rank").alias("lr"), F.first("right_rank").alias("rr"), F.count_distinct("tag").alias("shared"))
-    both = both.join(size.select(F.col("id").alias("left"), F.col("n").alias("ln")), "left").join(size.select(F.col("id").alias("right"), F.col("n").alias("rn")), "right")
-    linked = undirected(edges).select(F.col("src").alias("left"), F.col("dst").alias("right"))
-    both = both.join(linked, ["left", "right"], "left_anti")
-    overlap = F.col("shared") / (F.col("ln") + F.col("rn") - F.col("shared"))
-    return both.select("left", "right", (0.7 * (F.col("lr") + F.col("rr")) / 2 + 0.3 * overlap).alias("priority"))
+    own = tags.join(F.broadcast(top.select("id")), "id", "left_semi").groupBy("id").agg(F.collect_set("tag").alias("tags"))
+    own = shared_table(top.join(own, "id", "left").select("id", "rank", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")), "pair-pool")
+    side = lambda p: own.select(*[F.col(c).alias(f"{p}_{c}") for c in own.columns])
+    both = side("l").join(F.broadcast(side("r")), F.col("l_id") < F.col("r_id"))
+    linked = undirected(edges).select(F.col("src").alias("l_id"), F.col("dst").alias("r_id"))
+    both = both.join(linked, ["l_id", "r_id"], "left_anti")
+    shared = F.size(F.array_intersect("l_tags", "r_tags"))
+    overlap = shared / F.greatest(F.lit(1), F.size("l_tags") + F.size("r_tags") - shared)
+    return both.select(F.col("l_id").alias("left"), F.col("r_id").alias("right"), (0.7 * (F.col("l_rank") + F.col("r_rank")) / 2 + 0.3 * overlap).alias("priority"))

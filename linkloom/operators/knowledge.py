@@ -67,22 +67,67 @@ def tool_relevance(entities: DataFrame, relations: DataFrame, terms: list[str],
     return total.orderBy(F.desc("score"), "name").limit(limit)
 
 
+def normal_name(c: Column) -> Column:
+    """Lower case, trimmed, without punctuation."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", ""))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """Lower-case, trimmed, without punctuation: 1.0 equal, .9 containment, else edit similarity and a word bonus."""
-    x, y = (F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", "")) for c in (a, b))
+    """Of normal names: 1.0 equal, .9 containment, else edit similarity and a word bonus."""
+    x, y = normal_name(a), normal_name(b)
     wx, wy = (F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != "")) for c in (x, y))
     bonus = F.size(F.array_intersect(wx, wy)) / F.greatest(F.size(wx) + F.size(wy), F.lit(1)) * 0.2
     edit = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
     return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.9).otherwise(F.least(F.lit(1.0), edit + bonus))
 
 
+def _similar_candidates(names: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of different normal names that can reach `threshold`, none left out.
+
+    The word bonus is .1 at most, so an edit similarity reaches it within k = (1.1 - threshold) * length edits of the
+    longer name. Cut into k + 1 segments, the longer name has one that no edit touches: the other name
+    holds it, at most k places off. Containment is an equality with a substring."""
+    if threshold <= 0.3:
+        raise ValueError("at thresholds up to 0.3 names without a common part are similar")
+    edits = lambda n: F.floor((1.1 - threshold) * n + 1e-9).cast("int")
+    cut = lambda n, k, i: F.floor(i * n / (k + 1)).cast("int")
+    n = F.length("name")
+    k = edits(n)
+    segments = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(n.alias("long"), i.alias("i"), F.substring("name", cut(n, k, i) + 1, cut(n, k, i + 1) - cut(n, k, i)).alias("part")))
+    longer = names.select(F.col("name").alias("b"), F.explode(segments).alias("at")).select("b", "at.*")
+    reach = names.select("name", F.explode(F.sequence(n, F.floor(n / (threshold - 0.1)).cast("int"))).alias("long"))
+    reach = reach.withColumn("k", edits(F.col("long"))).filter(F.col("long") - F.length("name") <= F.col("k"))
+    reach = reach.select("name", "long", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    begin = cut(F.col("long"), F.col("k"), F.col("i"))
+    size = cut(F.col("long"), F.col("k"), F.col("i") + 1) - begin
+    low, high = F.greatest(F.lit(0), begin - F.col("k")), F.least(n - size, begin + F.col("k"))
+    parts = F.when(low <= high, F.array_distinct(F.transform(F.sequence(low, high), lambda p: F.substring(F.col("name"), p + 1, size))))
+    shorter = reach.select(F.col("name").alias("a"), "long", "i", F.explode(parts).alias("part"))
+    close = shorter.join(longer, ["long", "i", "part"]).select("a", "b")
+    if threshold <= 0.9:
+        inside = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda p: F.transform(F.sequence(F.lit(1), n - p + 1), lambda m: F.substring(F.col("name"), p, m))))
+        subs = names.filter("name <> ''").select(F.col("name").alias("b"), F.explode(F.array_distinct(inside)).alias("a"))
+        close = close.union(names.select(F.col("name").alias("a")).join(subs, "a").select("a", "b"))
+        empty = F.broadcast(names.filter("name = ''").select(F.col("name").alias("a")))  # names differ: one row at most
+        close = close.union(names.select(F.lit("").alias("a"), F.col("name").alias("b")).join(empty, "a", "left_semi"))
+    return close.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def duplicate_pairs(entities: DataFrame, threshold: float) -> DataFrame:
-    """(left, right, similarity) of entity names of one type at or above `threshold`, among pairs that
-    share a word: names meet by word, so no two unrelated names are ever compared."""
-    words = entities.select("id", "name", "entity_type", F.explode(F.array_distinct(L.tokens(F.col("name")))).alias("word"))
-    side = lambda p: words.select(F.col("id").alias(f"{p}_id"), F.col("name").alias(p), "entity_type", "word")
-    met = side("left").join(side("right"), ["entity_type", "word"]).filter("left_id < right_id").select("left_id", "right_id", "left", "right").distinct()
-    return met.withColumn("similarity", name_similarity(F.col("left"), F.col("right"))).filter(F.col("similarity") >= threshold)
+    """(left_id, right_id, left, right, similarity): every pair of different normal names at or above `threshold`, each
+    name by its entity of smallest id; and the other entities of a name with that one, at 1.0. Rows a name
+    grow with the square of its length, not with the number of names."""
+    e = entities.select("id", "name", normal_name(F.col("name")).alias("x")).filter("x is not null")
+    first = e.groupBy("x").agg(F.min(F.struct("id", "name")).alias("f")).select("x", F.col("f.id").alias("id"), F.col("f.name").alias("name"))
+    side = lambda p: first.select(F.col("x").alias(p), F.col("id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"))
+    met = _similar_candidates(first.select(F.col("x").alias("name")), threshold).join(side("a"), "a").join(side("b"), "b")
+    met = met.withColumn("similarity", name_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= threshold)
+    turn = F.col("a_id") < F.col("b_id")
+    pick = lambda c: (F.when(turn, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")), F.when(turn, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")))
+    (left_id, right_id), (left, right) = pick("id"), pick("name")
+    pairs = met.select(left_id.alias("left_id"), right_id.alias("right_id"), left.alias("left"), right.alias("right"), "similarity")
+    own = e.join(first.select("x", F.col("id").alias("left_id"), F.col("name").alias("left")), "x").filter("id <> left_id")
+    return pairs.union(own.select("left_id", F.col("id").alias("right_id"), "left", F.col("name").alias("right"), F.lit(1.0).alias("similarity")))
 
 
 def merge_entities(entities: DataFrame, groups: DataFrame) -> DataFrame:

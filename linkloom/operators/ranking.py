@@ -83,8 +83,9 @@ def dense_clusters(edges: DataFrame, saliency: DataFrame, components: DataFrame,
     return e.unionByName(n).groupBy("component").applyInPandas(grow, "cluster string, id string")
 
 
-def narrative(hits: DataFrame) -> DataFrame:
-    """One row (text): hits in order, a line each with title, path and score."""
+def narrative(hits: DataFrame, limit: int) -> DataFrame:
+    """One row (text): the best `limit` hits in order, a line each with title, path and score."""
+    hits = hits.orderBy(F.desc("score"), "path").limit(limit)
     line = F.format_string("- %s (%s) score %.3f", "title", "path", "score")
     return hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "path", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 

@@ -157,12 +157,33 @@ def lineage(section_rows: DataFrame, most: int = 6) -> DataFrame:
     return out.select("path", "ord", "trace")
 
 
-def thin(section_rows: DataFrame, least: int = 12) -> DataFrame:
-    """Sections with fewer than `least` own words give their text to their parent; others keep theirs."""
+def thin(section_rows: DataFrame, least: int = 12, most: int = 6) -> DataFrame:
+    """Sections with `section_text` after folding: a section that has children and fewer than `least` own words
+    takes the titles and texts of all below it, in order, and they end as sections of their own. The
+    outermost such ancestor takes all; parent pointers are followed up `most` levels, as many as headings have."""
     words = F.size(F.filter(F.split("section_text", r"\s+"), lambda t: t != ""))
-    s = section_rows.withColumn("small", (words < least) & (F.col("parent") >= 0))
-    into = s.filter("small").groupBy("path", F.col("parent").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "section_text"))), lambda x: x["section_text"]), "\n").alias("more"))
-    return s.filter("not small").join(into, ["path", "ord"], "left").withColumn("section_text", F.concat_ws("\n", "section_text", "more")).drop("more", "small")
+    own = section_rows.select("path", "ord", "parent", words.alias("words"))
+    having = own.filter("parent >= 0").select("path", F.col("parent").alias("ord")).distinct().withColumn("_has", F.lit(True))
+    small = (F.col("words") < max(1, least)) & F.col("_has").isNotNull()
+    own = own.join(having, ["path", "ord"], "left").select("path", "ord", "parent", small.alias("small"))
+    into = own.select("path", "ord", F.col("parent").alias("up"), F.when(F.col("small"), F.col("ord")).alias("into"))
+    ups = own.select("path", F.col("ord").alias("up"), F.col("parent").alias("_next"), F.col("small").alias("_small"))
+    for _ in range(most):
+        into = into.join(ups, ["path", "up"], "left").select("path", "ord", F.coalesce("_next", F.lit(-1)).alias("up"), F.when(F.col("_small"), F.col("up")).otherwise(F.col("into")).alias("into"))
+    rows = section_rows.join(into.select("path", "ord", "into"), ["path", "ord"])
+    text = F.trim("section_text")
+    folded = rows.filter("into is not null").select("path", "into", F.struct("ord", "parent", F.col("heading_title").alias("title"), text.alias("text")).alias("s"))
+    folded = folded.groupBy("path", F.col("into").alias("ord")).agg(F.array_sort(F.collect_list("s")).alias("all"))
+    # A title without a text is followed by its first child on the next line, everything else after an empty line.
+    piece = lambda x: F.when(x["text"] == "", x["title"]).otherwise(F.concat(x["title"], F.lit("\n"), x["text"]))
+    join = lambda acc, x: F.struct(
+        F.concat(acc["out"], F.when(acc["out"] == "", "").when((acc["text"] == "") & (acc["ord"] == x["parent"]), "\n").otherwise("\n\n"), F.when(x["ord"] == acc["top"], x["text"]).otherwise(piece(x))).alias("out"),
+        x["ord"].alias("ord"), x["text"].alias("text"), acc["top"].alias("top"),
+    )
+    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("ord"), F.lit("x").alias("text"), F.col("ord").alias("top"))
+    folded = folded.select("path", "ord", F.aggregate("all", start, join, lambda acc: acc["out"]).alias("_merged"))
+    left = rows.filter("into is null or into = ord").drop("into").join(folded, ["path", "ord"], "left")
+    return left.withColumn("section_text", F.coalesce("_merged", "section_text")).drop("_merged").select(section_rows.columns)
 
 
 def entity_refs(text: Column) -> Column:

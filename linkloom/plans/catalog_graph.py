@@ -125,17 +125,17 @@ r{k + 1} as (select id, {1 - alpha} * coalesce(w, 0) + {alpha} * (coalesce(walk,
 
 @query(f"""with {EDGES}, step as (select * from both_ways), deg as (select src as id, count(*) as degree from step group by src),
 seed as (select * from (values ('p:1', 0.5::double), ('s:2', 0.5::double)) v(id, w)), {_walk_sql(4, 0.85)}
-select id, round(score, 6) as score from r4""")
+select id, round(score, 9) as score from r4""")
 def personalized_pagerank(spark, sf):
-    return G.ppr(_links(spark, sf), _seed(spark, "p:1", "s:2"), rounds=4).withColumn("score", F.round("score", 6))
+    return G.ppr(_links(spark, sf), _seed(spark, "p:1", "s:2"), rounds=4).withColumn("score", F.round("score", 9))
 
 
 @query(f"""with {EDGES}, h1 as (select dst as id from both_ways where src = 'p:1'), h as (select 'p:1' as id, 0 as distance union all select id, 1 from h1),
 step as (select * from both_ways where src in (select id from h) and dst in (select id from h)), deg as (select src as id, count(*) as degree from step group by src),
 seed as (select 'p:1' as id, 1.0::double as w), {_walk_sql(5, 0.85)}
-select id, round(score, 6) as score, distance from r5 join h using (id) where distance > 0 order by score desc, distance, id limit 10""")
+select id, round(score, 9) as score, distance from r5 join h using (id) where distance > 0 order by round(score, 9) desc, distance, id limit 10""")
 def related_notes(spark, sf):
-    return G.related(_links(spark, sf), _seed(spark, "p:1"), most=1, limit=10, rounds=5).withColumn("score", F.round("score", 6))
+    return G.related(_links(spark, sf), _seed(spark, "p:1"), most=1, limit=10, rounds=5)
 
 
 PART_WALK = """r{k} as (select coalesce(h.part, m.part) as part, coalesce(h.id, m.id) as id, 0.15 * coalesce(restart, 0) + 0.85 * coalesce(walk, 0) as score from home h full join
@@ -145,18 +145,18 @@ PART_WALK = """r{k} as (select coalesce(h.part, m.part) as part, coalesce(h.id,
 @query(f"""with {EDGES}, seed as (select * from (values ('p:1', 1.0::double), ('p:2', 3.0::double), ('s:3', 2.0::double)) v(id, w)), near as (select id as part, id, 0 as distance from seed union select s.id, b.dst, 1 from seed s join both_ways b on b.src = s.id where b.dst <> s.id),
 step as (select r.part, b.src, b.dst from both_ways b join near r on r.id = b.src join near q on q.part = r.part and q.id = b.dst), deg as (select part, src, count(*) as degree from step group by 1, 2),
 home as (select part, near.id, w / sum(w) over (partition by part) as restart from near join seed on seed.id = near.id), r0 as (select part, id, restart as score from home), {PART_WALK.format(k=1, j=0)}, {PART_WALK.format(k=2, j=1)}, {PART_WALK.format(k=3, j=2)}
-select id, round(max(score), 6) as score, min(distance) as distance from r3 join (select id, min(distance) as distance from near group by id having min(distance) > 0) using (id) group by id order by max(score) desc, distance, id limit 400""")
+select id, round(max(score), 9) as score, min(distance) as distance from r3 join (select id, min(distance) as distance from near group by id having min(distance) > 0) using (id) group by id order by round(max(score), 9) desc, distance, id limit 400""")
 def related_partitioned(spark, sf):
     seeds = spark.createDataFrame([("p:1", 1.0), ("p:2", 3.0), ("s:3", 2.0)], "id string, weight double")
-    return G.related_partitioned(_links(spark, sf), seeds, most=1, limit=400, rounds=3).withColumn("score", F.round("score", 6))
+    return G.related_partitioned(_links(spark, sf), seeds, most=1, limit=400, rounds=3)
 
 
 @query(f"""with {EDGES}, w as (select src, dst, 1.0::double / count(*) over (partition by src) as share from links), home as (select 'p:' || p_partkey as id, least(1.0, p_size / 50.0)::double as home from part),
 r1 as (select coalesce(h.id, i.id) as id, 0.85 * coalesce(inflow, 0) + 0.15 * coalesce(home, 0) as score from home h full join (select dst as id, sum(home * share) as inflow from home join w on w.src = home.id group by dst) i on i.id = h.id)
-select id, round(score, 6) as score from r1""")
+select id, round(score, 9) as score from r1""")
 def hybrid_pagerank(spark, sf):
     prior = T.table(spark, sf, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_size") / 50).alias("prior"))
-    return G.hybrid_ppr(_links(spark, sf).withColumn("weight", F.lit(1.0)), prior, rounds=1).withColumn("score", F.round("score", 6))
+    return G.hybrid_ppr(_links(spark, sf).withColumn("weight", F.lit(1.0)), prior, rounds=1).withColumn("score", F.round("score", 9))
 
 
 @query(f"""with {NOTE_EDGES}, m as (select cast(doc_id as varchar) as id, doc_id // 10 as cluster, case when doc_id % 3 = 0 then 0.9 end as s from documents),
@@ -169,11 +169,11 @@ def cluster_density(spark, sf):
     return G.cluster_density(members, _note_links(spark, sf), known).withColumns({"density": F.round("density", 6), "mean_saliency": F.round("mean_saliency", 6)})
 
 
-@query(f"""with {NOTE_EDGES}, m as (select cast(doc_id as varchar) as id, 'virtual:' || (doc_id // 10) as cluster from documents where doc_id < 500),
+@query(f"""with {NOTE_EDGES}, m as (select cast(doc_id as varchar) as id, 'virtual:' || (doc_id // 10) as cluster from documents),
 e as (select coalesce(a.cluster, e.src) as src, coalesce(b.cluster, e.dst) as dst from note_links e left join m a on a.id = e.src left join m b on b.id = e.dst)
 select src, dst, count(*) as links from e where src <> dst group by 1, 2""")
 def cluster_collapse(spark, sf):
-    members = _nodes(spark, sf).filter("doc_no < 500").select("id", F.concat(F.lit("virtual:"), F.floor(F.col("doc_no") / 10).cast("string")).alias("cluster"))
+    members = _nodes(spark, sf).select("id", F.concat(F.lit("virtual:"), F.floor(F.col("doc_no") / 10).cast("string")).alias("cluster"))
     return G.collapse(_note_links(spark, sf), members)
 
 
@@ -188,7 +188,7 @@ def coactivation(spark, sf):
 @query(f"""with {NOTE_EDGES}, top as (select cast(doc_id as varchar) as id, (doc_id % 100) / 100.0::double as rank from documents order by 2 desc, 1 limit 40),
 own as (select t.id, t.rank, x.tag from top t join documents d on cast(d.doc_id as varchar) = t.id, unnest([d.lang, d.source]) x(tag)),
 sz as (select id, count(distinct tag) as n from own group by 1),
-b as (select l.id as "left", r.id as "right", any_value(l.rank) as lr, any_value(r.rank) as rr, count(distinct l.tag) as shared from own l join own r on l.tag = r.tag and l.id < r.id group by 1, 2)
+b as (select l.id as "left", r.id as "right", l.rank as lr, r.rank as rr, (select count(distinct x.tag) from own x join own y on x.tag = y.tag where x.id = l.id and y.id = r.id) as shared from top l join top r on l.id < r.id)
 select "left", "right", round(0.7 * (lr + rr) / 2 + 0.3 * shared / (a.n + c.n - shared), 6) as priority from b join sz a on a.id = "left" join sz c on c.id = "right"
 where not exists (select 1 from note_links e where (e.src = "left" and e.dst = "right") or (e.src = "right" and e.dst = "left"))""")
 def agentic_pair_priority(spark, sf):

@@ -67,10 +67,10 @@ def tool_relevance(spark, sf):
     return K.tool_relevance(T.entities(spark, sf), T.relations(spark, sf), ["asia", "nation_3"], 2, 30).withColumn("score", F.round("score", 6))
 
 
-@query(f"""with {ENTITIES}, w as (select id, name, entity_type, unnest(list_distinct({TOK.format('name')})) as word from entities), m as (select distinct a.id as left_id, b.id as right_id, a.name as l, b.name as r from w a join w b on a.entity_type = b.entity_type and a.word = b.word and a.id < b.id),
-c as (select *, trim(regexp_replace(lower(l), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) as x, trim(regexp_replace(lower(r), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) as y from m),
-s as (select *, case when x = y then 1.0 when contains(x, y) or contains(y, x) then 0.9 else least(1.0, 1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::double + len(list_intersect(list_distinct(string_split_regex(x, '\\s+')), list_distinct(string_split_regex(y, '\\s+')))) / greatest(len(list_distinct(string_split_regex(x, '\\s+'))) + len(list_distinct(string_split_regex(y, '\\s+'))), 1)::double * 0.2) end as sim from c)
-select left_id, right_id, l as "left", r as "right", round(sim, 6)::double as similarity from s where sim >= 0.9""")
+@query(f"""with {ENTITIES}, c as (select id, name, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) as x from entities), f as (select x, min(id) as id, arg_min(name, id) as name from c group by x),
+m as (select a.id as left_id, b.id as right_id, a.name as l, b.name as r, a.x, b.x as y, list_distinct(string_split_regex(a.x, '\\s+')) as u, list_distinct(string_split_regex(b.x, '\\s+')) as v from f a join f b on a.id < b.id),
+s as (select *, case when contains(x, y) or contains(y, x) then 0.9 else least(1.0, 1 - levenshtein(x, y) / greatest(length(x), length(y), 1)::double + len(list_intersect(u, v)) / greatest(len(u) + len(v), 1)::double * 0.2) end as sim from m)
+select left_id, right_id, l as "left", r as "right", round(sim, 6)::double as similarity from s where sim >= 0.9 union all select f.id, c.id, f.name, c.name, 1.0 from c join f using (x) where c.id <> f.id""")
 def duplicate_entities(spark, sf):
     return K.duplicate_pairs(T.entities(spark, sf), 0.9).withColumn("similarity", F.round("similarity", 6))
 
@@ -115,12 +115,12 @@ def register_skills(spark, sf):
     return e.select(F.lit("entity").alias("what"), F.col("name").alias("a"), F.col("entity_type").alias("b")).unionByName(r.select(F.lit("relation").alias("what"), F.col("source").alias("a"), F.col("target").alias("b")))
 
 
-@query(f"""with {NOTE_EDGES}, {NOTES}, k as (select id from notes where doc_no < 150 and id in (select src from note_links union select dst from note_links)), il as (select src, dst from note_links where src in (select id from k) and dst in (select id from k)),
+@query(f"""with {NOTE_EDGES}, {NOTES}, h as (select id from notes where contains(lower(search_text), 'the') order by word_count desc, id limit 150), k as (select id from h where id in (select src from note_links union select dst from note_links)), il as (select src, dst from note_links where src in (select id from k) and dst in (select id from k)),
 u as (select src, dst from il union select dst, src from il), t as (select distinct n.id, unnest(n.tags) as tag from notes n join k using (id)), p as (select distinct a.id, b.id as other from t a join t b on a.tag = b.tag and a.id <> b.id)
 select id, round(sum(b), 6)::double as boost from (select src as id, 0.1 as b from u union all select id, 0.05 from p) group by id""")
 def recall_proximity_boost(spark, sf):
     n = T.notes(spark, sf)
-    few = n.filter("doc_no < 150").select("id")
+    few = n.filter(F.contains(F.lower("search_text"), F.lit("the"))).orderBy(F.desc("word_count"), "id").limit(150).select("id")  # a result list
     return K.recall_boost(few, T.note_links(n, n.count()), n.select("id", F.explode("tags").alias("tag")), 0.1, 0.05).withColumn("boost", F.round("boost", 6))
 
 
@@ -145,10 +145,10 @@ def semantic_fusion(spark, sf):
     return f.select("id", *[F.round(c, 6).alias(c) for c in ("vector_score", "topology_score", "score")])
 
 
-@query("""with s as (select user_id as source_id, user_id + 1 as target_id, (event_id % 10) / 10.0::double as c from events where event_id < 3000), e as (select unnest([source_id, target_id]) as id, least(greatest(0.08 + 0.27 * c, 0.08), 0.35) as b from s)
+@query("""with s as (select user_id as source_id, user_id + 1 as target_id, (event_id % 10) / 10.0::double as c from events), e as (select unnest([source_id, target_id]) as id, least(greatest(0.08 + 0.27 * c, 0.08), 0.35) as b from s)
 select id, round(least(0.35, 1 - exp(sum(ln(1 - b)))), 6) as boost from e group by id""")
 def provisional_boosts(spark, sf):
-    s = T.table(spark, sf, "events").filter("event_id < 3000").select(F.col("user_id").alias("source_id"), (F.col("user_id") + 1).alias("target_id"), (F.col("event_id") % 10 / 10).alias("confidence"))
+    s = T.table(spark, sf, "events").select(F.col("user_id").alias("source_id"), (F.col("user_id") + 1).alias("target_id"), (F.col("event_id") % 10 / 10).alias("confidence"))
     return K.provisional_boosts(s).withColumn("boost", F.round("boost", 6))
 
 

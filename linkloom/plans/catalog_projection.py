@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkloom.operators import incremental as I
@@ -31,7 +32,7 @@ def module_search(spark, sf):
 
 
 EXAMPLE_SQL = """ex as (select 's' || s_suppkey as example_id, case when s_suppkey % 9 = 0 then 'red bolt ' || s_suppkey else s_name end as title, 'examples/' || s_name as path, 'nation ' || s_nationkey as summary from supplier),
-li as (select distinct 's' || l_suppkey as example_id, l_partkey from lineitem where l_orderkey % 40 = 0),
+li as (select distinct 's' || l_suppkey as example_id, l_partkey from lineitem),
 rs as (select example_id, list(distinct p_name) as rs, list(distinct 'lib.' || p_brand) as rm from li join part on l_partkey = p_partkey group by 1)"""
 
 
@@ -41,7 +42,7 @@ def examples(spark, sf):
     title = F.when(F.col("s_suppkey") % 9 == 0, F.concat(F.lit("red bolt "), F.col("s_suppkey").cast("string"))).otherwise(F.col("s_name"))
     ex = s.select(name.alias("example_id"), title.alias("title"), F.concat(F.lit("examples/"), "s_name").alias("path"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("summary"))
     modules, symbols = bundle(spark, sf)[:2]
-    li = T.table(spark, sf, "lineitem").filter("l_orderkey % 40 = 0").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("s:"), F.col("l_partkey").cast("string")).alias("target_id")).distinct()
+    li = T.table(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("s:"), F.col("l_partkey").cast("string")).alias("target_id")).distinct()
     of_module = li.join(symbols, li["target_id"] == symbols["symbol_id"]).select("source_id", F.col("module_id").alias("target_id")).distinct()
     return P.with_related(ex, li.union(of_module).withColumn("kind", F.lit("example_of")), symbols, modules)
 
@@ -109,9 +110,11 @@ r as (select source as repo_id, row_number() over (order by source) as n from (s
 select r.repo_id, case when n = 2 then 'replace_all' when changed > 0 then 'clone_and_mutate' when n % 2 = 0 then 'noop' else 'refresh_publication' end as action, coalesce(changed, 0) as changed from r left join d on d.repo_id = r.repo_id""")
 def staged_mutations(spark, sf):
     d = T.table(spark, sf, "documents").select(F.col("source").alias("repo_id"), F.col("doc_id").alias("path"), F.col("n_chars").alias("hash"))
-    repos = sorted(r[0] for r in d.select("repo_id").distinct().collect())  # a handful of sources
+    first, last = d.agg(F.min("repo_id"), F.max("repo_id")).first()
     before = d.filter("path % 10 <> 3")
-    after = d.filter((F.col("path") % 10 != 3) | (F.col("repo_id") == repos[0])).withColumn("hash", F.when((F.col("path") % 50 == 5) & (F.col("repo_id") == repos[-1]), -1).otherwise(F.col("hash")))
-    current = spark.createDataFrame([(r, "v2") for r in repos], "repo_id string, revision string")
-    published = spark.createDataFrame([(r, "v2" if n % 2 == 0 else "v1") for n, r in enumerate(repos, 1) if n != 2], "repo_id string, revision string")
+    after = d.filter((F.col("path") % 10 != 3) | (F.col("repo_id") == first)).withColumn("hash", F.when((F.col("path") % 50 == 5) & (F.col("repo_id") == last), -1).otherwise(F.col("hash")))
+    repos = d.filter("repo_id is not null").select("repo_id").distinct()
+    current = repos.withColumn("revision", F.lit("v2"))
+    nth = repos.withColumn("n", F.row_number().over(Window.orderBy("repo_id")))  # one row a source
+    published = nth.filter("n <> 2").select("repo_id", F.when(F.col("n") % 2 == 0, "v2").otherwise("v1").alias("revision"))
     return I.plan_mutations(current, published, before, after).select("repo_id", "action", "changed")

@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 REPO = """modules as (select distinct 'lib' as repo_id, 'm:' || p_brand as module_id, 'lib.' || p_brand as qualified_name, 'lib/' || p_brand as path from part),
 symbols as (select 'lib' as repo_id, 's:' || p_partkey as symbol_id, 'm:' || p_brand as module_id, p_name as name from part),
 docs as (select 'lib' as repo_id, 'd:' || s_suppkey as doc_id, case when s_suppkey % 3 = 0 then 'On red bolt and blue bolt' else s_name end as title from supplier),
-relations as (select distinct 'lib' as repo_id, 'd:' || l_suppkey as source_id, 's:' || l_partkey as target_id, 'documents' as kind from lineitem where l_orderkey % 40 = 0)"""
+relations as (select distinct 'lib' as repo_id, 'd:' || l_suppkey as source_id, 's:' || l_partkey as target_id, 'documents' as kind from lineitem)"""
 AUDIT = """aud as (select symbol_id, max(case when contains(lower(title), lower(name)) or contains(lower(name), lower(title)) then 2 when r.source_id is not null then 1 else 0 end) as r from symbols left join relations r on r.target_id = symbol_id left join docs d on d.doc_id = r.source_id group by 1)"""
 
 
@@ -39,7 +39,7 @@ def bundle(spark, sf):
     modules = p.select(lib, cat("m:", "p_brand").alias("module_id"), cat("lib.", "p_brand").alias("qualified_name"), cat("lib/", "p_brand").alias("path")).distinct()
     symbols = p.select(lib, cat("s:", "p_partkey").alias("symbol_id"), cat("m:", "p_brand").alias("module_id"), F.col("p_name").alias("name"))
     docs = s.select(lib, cat("d:", "s_suppkey").alias("doc_id"), F.when(F.col("s_suppkey") % 3 == 0, "On red bolt and blue bolt").otherwise(F.col("s_name")).alias("title"))
-    rel = li.filter("l_orderkey % 40 = 0").select(lib, cat("d:", "l_suppkey").alias("source_id"), cat("s:", "l_partkey").alias("target_id"), F.lit("documents").alias("kind"))
+    rel = li.select(lib, cat("d:", "l_suppkey").alias("source_id"), cat("s:", "l_partkey").alias("target_id"), F.lit("documents").alias("kind"))
     return modules, symbols, docs, R.dedupe_relations(rel)
 
 
@@ -178,10 +178,10 @@ def page_attachments(spark, sf):
     return T.attachments(spark, sf).select("page_id", "attachment_path", "kind")
 
 
-@query("with r as (select doc_id, list_distinct(regexp_extract_all(replace(replace(left(text, 400), ' the ', ' [[the#kw|x]] '), ' de ', ' [[de]] '), '\\[\\[([^\\]|#]+)', 1)) as refs from documents) select doc_id, unnest(refs) as ref from r")
+@query("with r as (select doc_id, list_distinct(regexp_extract_all(replace(replace(text, ' the ', ' [[the#kw|x]] '), ' de ', ' [[de]] '), '\\[\\[([^\\]|#]+)', 1)) as refs from documents) select doc_id, unnest(refs) as ref from r")
 def entity_references(spark, sf):
     d = T.table(spark, sf, "documents")
-    text = F.replace(F.replace(F.substring("text", 1, 400), F.lit(" the "), F.lit(" [[the#kw|x]] ")), F.lit(" de "), F.lit(" [[de]] "))
+    text = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" [[the#kw|x]] ")), F.lit(" de "), F.lit(" [[de]] "))
     return d.select("doc_id", F.explode(X.entity_refs(text)).alias("ref"))
 
 
@@ -195,6 +195,12 @@ def markdown(spark, sf):
     return rows.select(F.concat(F.lit("notes/doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "content")
 
 
+#: Sections of `markdown`: three lines each, a first-level one and one below it by turns.
+SECTIONS_SQL = r"""l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
+g as (select doc_id, (n // 3)::int as ord, string_agg(line || case when n % 6 = 0 then ' [[doc' || (doc_id + 1) % 50 || ']]' else '' end, chr(10) order by n) as text, arg_min(left(line, 20), n) as head from l group by 1, 2),
+s as (select 'notes/doc' || doc_id || '.md' as path, doc_id, ord, ord % 2 + 1 as level, case when ord % 2 = 1 then ord - 1 else -1 end as parent, regexp_extract('# ' || head, '^#\s+(.*?)\s*#*\s*$', 1) as title, text from g)"""
+
+
 @query("select 'notes/doc' || doc_id || '.md' as path, cast(sum((ord % 3 = 0)::int) as bigint) as n, cast(sum((ord % 6 = 0)::int) as bigint) as top from (select doc_id, unnest(range(0, len(string_split(text, chr(10))))) as ord from documents) group by 1")
 def section_extraction(spark, sf):
     return X.sections(markdown(spark, sf)).groupBy("path").agg(F.sum((F.col("heading_level") > 0).cast("long")).alias("n"), F.sum((F.col("heading_level") == 1).cast("long")).alias("top"))
@@ -206,27 +212,33 @@ def note_link_resolution(spark, sf):
     return X.resolve_links(X.sections(f), X.notes(f))
 
 
-@query(None)
+@query(f"with {SECTIONS_SQL} select distinct path || '#' || title as src, unnest(['s1', 's2']) as target, 'RELATED' as kind from s where level = 1")
 def drawer_relations(spark, sf):
     return X.drawer_links(X.sections(markdown(spark, sf)))
 
 
-@query(None)
+@query(f"with {SECTIONS_SQL} select s.path, s.ord, case when p.title is null then s.title else p.title || ' > ' || s.title end as trace from s left join s p on p.path = s.path and p.ord = s.parent")
 def section_lineage(spark, sf):
     return X.lineage(X.sections(markdown(spark, sf)))
 
 
-@query(None)
+@query(f"""with recursive {SECTIONS_SQL}, w as (select *, len(regexp_extract_all(text, '\\S+')) < 12 and exists (select 1 from s c where c.path = s.path and c.parent = s.ord) as small, trim(text) as own from s),
+up as (select path, ord, parent as above, case when small then ord end as into_ from w union all select up.path, up.ord, w.parent, case when w.small then w.ord else up.into_ end from up join w on w.path = up.path and w.ord = up.above),
+t as (select path, ord, into_ from up where above = -1), f as (select t.path, t.into_ as ord, string_agg(case when t.ord = t.into_ then own when own = '' then title else title || chr(10) || own end, chr(10) || chr(10) order by t.ord) filter (not (t.ord = t.into_ and own = '')) as merged from t join w using (path, ord) where into_ is not null group by 1, 2)
+select t.path, t.ord, length(coalesce(merged, text)) as chars from t join w using (path, ord) left join f on f.path = t.path and f.ord = t.ord where t.into_ is null or t.into_ = t.ord""")
 def tree_thinning(spark, sf):
     return X.thin(X.sections(markdown(spark, sf))).select("path", "ord", F.length("section_text").alias("chars"))
 
 
-@query(None)
+@query(f"""with {SECTIONS_SQL}, b as (select path, ord, list_filter(string_split_regex(text, '\\n[ \\t]*\\n'), lambda t: trim(t, ' ') <> '') as raw from s), u as (select path, ord, unnest(raw) as t, (generate_subscripts(raw, 1) - 1)::int as block from b), v as (select path, ord, block, trim(t, ' ') as text from u)
+select path, ord, block, case when regexp_matches(text, '^(```|~~~)') then 'code' when regexp_matches(text, '^([-*+]|[0-9]+[.)])\\s') then 'list' when starts_with(text, '>') then 'quote' when starts_with(text, '|') then 'table' else 'paragraph' end as kind, text, left(sha256(text), 16) as hash from v""")
 def markdown_blocks(spark, sf):
     return X.block_rows(X.sections(markdown(spark, sf)))
 
 
-@query(None)
+@query(f"""with {SECTIONS_SQL}, i as (select *, case when level = 1 then 's' || doc_id end as id from s), r as (select path, ord, unnest(regexp_extract_all(text, '\\[\\[#([^\\]|]+)', 1)) as id from s), k as (select id, count(*) as n from i where id is not null group by 1)
+select path, ord, 'dead_link' as issue, id as detail from r where id not in (select id from k) union all select path, ord, 'missing_id', '' from i where id is null union all select path, ord, 'id_collision', id from i join k using (id) where n > 1
+union all select path, ord, 'legacy_syntax', '' from s where regexp_matches(text, 'SEE ALSO|RELATED TO|<<')""")
 def semantic_checks(spark, sf):
     return X.semantic_issues(X.sections(markdown(spark, sf)))
 

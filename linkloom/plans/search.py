@@ -38,8 +38,9 @@ def path_filter(include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
 
 
 def tag_filter(o: Options) -> Column:
-    tags = F.transform("tags", lambda t: F.lower(t))
-    arr = lambda xs: F.array(*[F.lit(x.lower()) for x in xs])
+    case = bool(o.case_sensitive)
+    tags = F.col("tags") if case else F.transform("tags", lambda t: F.lower(t))
+    arr = lambda xs: F.array(*[F.lit(L.cased(x, case)) for x in xs])
     out = F.lit(True)
     if o.tags_all:
         out &= F.size(F.array_except(arr(o.tags_all), tags)) == 0
@@ -77,15 +78,25 @@ def resolve_ids(notes: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return notes.filter(F.lower("id").isin(*low) | F.lower("path").isin(*low) | F.lower("stem").isin(*low)).select("id")
 
 
+def ambiguous(aliases: DataFrame) -> DataFrame:
+    """(alias, n, path): lower-case aliases (alias, id, path) that name several notes, with the first path."""
+    own = aliases.groupBy(F.lower("alias").alias("alias")).agg(F.count_distinct("id").alias("n"), F.min("path").alias("path"))
+    return own.filter("n > 1")
+
+
 def graph_candidates(g: Graph, notes: DataFrame, o: Options) -> DataFrame:
-    """`notes` narrowed by every link directive in turn."""
+    """`notes` narrowed by every link directive in turn; none is left if one asks for links and the edge types given
+    leave semantic links out."""
+    asked = [f for f in (o.link_to, o.linked_by) if f and f.seeds] or o.related or o.mentioned_by
+    if asked and o.edge_types and "semantic" not in o.edge_types:
+        return notes.limit(0)
     for f, kind in ((o.link_to, "to"), (o.linked_by, "from")):
         if f and f.seeds:
             hit = G.link_filter(g.edges, resolve_ids(g.notes, f.seeds), kind, f.recursive, f.max_distance or 2)
             notes = notes.join(hit, "id", "left_anti" if f.negate else "left_semi")
     if o.related:
         seeds = resolve_ids(g.notes, o.related).withColumn("weight", F.lit(1.0))
-        hit = G.related(g.edges, seeds, o.related_distance or 2, 4_096, o.ppr_alpha or 0.85, o.ppr_max_iter or 10)
+        hit = G.related(g.edges, seeds, o.related_distance or 2, None, o.ppr_alpha or 0.85, o.ppr_max_iter or 10, o.ppr_tol or 0.0)
         notes = notes.join(hit.select("id"), "id", "left_semi")
     if o.mentioned_by:
         notes = notes.join(G.link_filter(g.edges, resolve_ids(g.notes, o.mentioned_by), "from"), "id", "left_semi")
@@ -113,7 +124,7 @@ def scored_sections(sections: DataFrame, query: str, o: Options) -> DataFrame:
     """Narrow section rows with a score above 0, after level and word rules."""
     words = o.min_section_words if o.min_section_words is not None else (24 if o.scope in ("section", "mixed") else 0)
     s = sections.filter((F.col("heading_level") <= (o.max_heading_level or 6)) & (F.col("words") >= words))
-    return s.select("doc_id", "ord", "heading_title", "heading_path", L.section_score(query).alias("section_score")).filter("section_score > 0")
+    return s.select("doc_id", "ord", "heading_title", "heading_path", L.section_score(query, bool(o.case_sensitive)).alias("section_score")).filter("section_score > 0")
 
 
 def best_sections(sections: DataFrame, query: str, o: Options) -> DataFrame:
@@ -141,7 +152,7 @@ NARROW = ("id", "stem", "path", "title", "word_count", "created_ts", "modified_t
 
 def text_scores(notes: DataFrame, query: str, o: Options) -> DataFrame:
     """The notes' narrow columns with `own` and `by_path`: what needs their texts, so that no join carries one."""
-    keep = [c for c in NARROW if c in notes.columns]
+    keep, case = [c for c in NARROW if c in notes.columns], bool(o.case_sensitive)
     if not query.strip():
         return notes.select(*keep, F.lit(1.0).alias("own"), F.lit(0.0).alias("by_path"))
     if o.strategy == "re":
@@ -149,11 +160,11 @@ def text_scores(notes: DataFrame, query: str, o: Options) -> DataFrame:
             re.compile(query)
         except re.error:
             return notes.limit(0).select(*keep, F.lit(0.0).alias("own"), F.lit(0.0).alias("by_path"))
-        own = L.regex_score(query)
+        own = L.regex_score(query, case)
     else:
-        own = {"exact": L.exact_score, "path_fuzzy": L.path_score}.get(o.strategy, L.document_score)(query)
-    by_path = L.path_score(query) if o.strategy == "fts" else F.lit(0.0)
-    return L.folded(notes).select(*keep, own.alias("own"), by_path.alias("by_path"))
+        own = {"exact": L.exact_score, "path_fuzzy": L.path_score}.get(o.strategy, L.document_score)(query, case)
+    by_path = L.path_score(query, case) if o.strategy == "fts" else F.lit(0.0)
+    return L.folded(notes, case).select(*keep, own.alias("own"), by_path.alias("by_path"))
 
 
 def score_notes(notes: DataFrame, best: DataFrame, query: str, o: Options) -> DataFrame:
@@ -185,9 +196,15 @@ def search(g: Graph, line: str | Parsed, limit: int = 20, base: Options = Option
     if o.tagless is not None:
         notes = notes.filter((F.size("tags") == 0) == F.lit(o.tagless))
     if o.mentions_of:
-        notes = notes.filter(L.any_of([L.has(F.lower("search_text"), m.lower()) for m in o.mentions_of if m.strip()]))
+        case = bool(o.case_sensitive)
+        text = F.col("search_text") if case else F.lower("search_text")
+        notes = notes.filter(L.any_of([L.has(text, L.cased(m, case)) for m in o.mentions_of if m.strip()]))
+    # Without structural links sections count for nothing, and a search for sections finds none.
+    structural = not o.edge_types or "structural" in o.edge_types
+    if o.scope == "section" and not structural:
+        notes = notes.limit(0)
     notes = graph_candidates(g, text_scores(notes, p.query, o), o)
-    best = best_sections(g.sections, p.query, o)
+    best = best_sections(g.sections if structural else g.sections.limit(0), p.query, o)
     hit = score_notes(notes, best, p.query, o).filter("score > 0")
     if "best_section" not in hit.columns:
         hit = hit.withColumn("best_section", F.lit(None).cast("string"))

@@ -24,11 +24,13 @@ def reach_workers(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; a temporary one only where none is set (local tests)."""
+    """The folder of `spark.checkpoint.dir`; a temporary one only where none is set and Spark is local (tests)."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="linkloom-"))
         found = sc.getCheckpointDir()
     return found
