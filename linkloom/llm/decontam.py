@@ -2,12 +2,12 @@
 
 1. Test items become an inverted index. An impact is an item's BM25 weight of a term, divided by the
    item's score against itself: a passage that repeats the whole item scores 1, whatever its length.
-   Postings are in item order; blocks of `BLOCK` items have the largest impact of each term in them.
+   Postings are in item order; blocks of items have the largest impact of each term in them.
 2. Documents are cut into passages with half overlap, of a length that depends on the item alone: twice its words,
    rounded up to a power of two times `LEAST_PASSAGE`; so every copy of an item lies whole in one. A
    document's terms bound what any of its passages can score, so block-max WAND runs once a document: cursors over
-   the terms' postings, a pivot where the largest impacts reach the threshold, block maxima that let cursors skip to
-   the next block or cursor. Items it returns are then scored passage by passage: none at the threshold is missed.
+   the terms' postings, a pivot where the largest impacts reach the threshold, and cursors that skip to the next block
+   whose maxima reach it, if the pivot's don't. Items it returns are then scored passage by passage: none at the threshold is missed.
 3. A retrieved passage counts if it also holds enough of the item's word triples, in its question and in
    its answer. Without an answer column the last `ANSWER` of an item's words stand for the answer.
 
@@ -38,7 +38,7 @@ from linkloom.shared import shared_table
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.5
-BLOCK, LEAST_PASSAGE, ANSWER, GRAM = 64, 128, 1 / 3, 3
+LEAST_PASSAGE, ANSWER, GRAM = 128, 1 / 3, 3
 BUCKETS = 1_024
 SHARD_WORDS = 2_000_000
 _PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -48,6 +48,17 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_PLAIN).split() if text else []
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0], ..., end[0] - 1, begin[1], ..."""
+    n = end - begin
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def block_items(items: int) -> int:
+    """Items of a block: a hundredth of all, so that skipping a block is worth a look at its bound."""
+    return min(64, max(2, items // 100))
+
+
 def passage_words(item_words: int) -> int:
     """Length of the passages that an item of so many words is held against."""
     return LEAST_PASSAGE << max(0, -(-2 * item_words // LEAST_PASSAGE) - 1).bit_length()
@@ -64,6 +75,7 @@ class Index:
     term_most: np.ndarray
     posting: np.ndarray
     impact: np.ndarray
+    entry_at: np.ndarray
     entry: np.ndarray
     entry_most: np.ndarray
     words: list[np.ndarray]
@@ -83,55 +95,60 @@ class Index:
             weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
             terms.append(t)
             weights.append(weight / max(1e-12, weight.sum()))
-        n, blocks = len(items), len(items) // BLOCK + 1
+        n, block = len(items), block_items(len(items))
+        blocks = n // block + 1
         posting = np.concatenate([t * n + i for i, t in enumerate(terms)]) if n else np.empty(0, np.int64)
         by = np.argsort(posting)
         posting, impact = posting[by], (np.concatenate(weights) if n else np.empty(0))[by]
         term = posting // max(1, n)
-        code = term * blocks + posting % max(1, n) // BLOCK
+        code = term * blocks + posting % max(1, n) // block
         begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if n else np.empty(0, np.int64)
         term_at = np.searchsorted(term, np.arange(len(number) + 1))
         most = lambda at: np.maximum.reduceat(impact, at) if n else np.empty(0)
-        return Index(np.array([i for i, _, _ in items], np.int64), number, term_at, most(term_at[:-1]), posting, impact, code[begin], most(begin), ids, np.array([q for _, _, q in items], np.int64), terms, weights)
+        return Index(np.array([i for i, _, _ in items], np.int64), number, term_at, most(term_at[:-1]), posting, impact, np.searchsorted(code[begin] // blocks, np.arange(len(number) + 1)), code[begin], most(begin), ids, np.array([q for _, _, q in items], np.int64), terms, weights)
 
     def candidates(self, terms: np.ndarray, threshold: float) -> list[int]:
         """Items whose impacts over `terms` (distinct) sum to the threshold, by block-max WAND."""
-        n, blocks, found = len(self.items), len(self.items) // BLOCK + 1, []
+        n, block, found = len(self.items), block_items(len(self.items)), []
+        blocks = n // block + 1
         most = self.term_most[terms]
         if most.sum() < threshold:
             return found
-        base, at, end = terms * n, self.term_at[terms], self.term_at[terms + 1]
+        # Blocks whose largest impacts, over all terms, reach the threshold: cursors stop in no other.
+        entry = _ranges(self.entry_at[terms], self.entry_at[terms + 1])
+        bound = np.bincount(self.entry[entry] % blocks, self.entry_most[entry], minlength=blocks)
+        live = np.append(np.flatnonzero(bound >= threshold), blocks)
+        if len(live) == 1:
+            return found
+        base, end = terms * n, self.term_at[terms + 1]
         last = np.append(self.posting, 0)
-        item = last[at] - base
+        nth, to = 0, int(live[0]) * block
+        at = np.searchsorted(self.posting, base + to)
+        item = np.where(at < end, last[at] - base, n)
         while True:
             order = np.argsort(item, kind="stable")
-            reached = np.cumsum(most[order])
-            p = int(np.searchsorted(reached, threshold))
-            if p == len(order) or item[order[p]] >= n:
-                return found
-            pivot = int(item[order[p]])
             line = item[order]
-            p = int(np.searchsorted(line, pivot, "right"))
-            sub, block = order[:p], pivot // BLOCK
-            upto = min((block + 1) * BLOCK, int(line[p]) if p < len(line) else n)
-            if self._block_sum(terms[sub], block, blocks) < threshold:
-                if upto % BLOCK and self._block_sum(terms, block, blocks) < threshold:
-                    sub, upto = order, (block + 1) * BLOCK
+            p = int(np.searchsorted(np.cumsum(most[order]), threshold))
+            if p == len(order) or line[p] >= n:
+                return found
+            pivot = int(line[p])
+            while live[nth] < pivot // block:
+                nth += 1
+            if live[nth] > pivot // block:
+                if live[nth] == blocks:
+                    return found
+                to = int(live[nth]) * block
             elif line[0] == pivot:
+                sub = order[: int(np.searchsorted(line, pivot, "right"))]
                 if self.impact[at[sub]].sum() >= threshold:
                     found.append(pivot)
-                upto = pivot + 1
+                to = pivot + 1
             else:
-                upto = pivot
-            sub = sub[item[sub] < upto]
-            at[sub] = np.searchsorted(self.posting, base[sub] + min(upto, n))
+                to = pivot
+            sub = np.flatnonzero(item < to)
+            at[sub] = np.searchsorted(self.posting, base[sub] + min(to, n))
             item[sub] = np.where(at[sub] < end[sub], last[at[sub]] - base[sub], n)
 
-    def _block_sum(self, terms: np.ndarray, block: int, blocks: int) -> float:
-        wanted = terms * blocks + block
-        at = np.minimum(np.searchsorted(self.entry, wanted), len(self.entry) - 1)
-        return self.entry_most[at][self.entry[at] == wanted].sum()
-
     def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float, int]]:
         """(item_id, score, question overlap, answer overlap, first word of the passage), the best passage an item."""
         words = words_of(text)

@@ -177,7 +177,7 @@ def test_decontamination(spark, sf):
     want = {(i, r.item_id) for r in items.collect() for i, t in enumerate(texts) if norm(r.text) in norm(t)}
     assert (len(texts) - 2, planted.item_id) in want
     d = docs(spark, texts)
-    for words in (decontam.SHARD_WORDS, 300):
+    for words in (decontam.SHARD_WORDS, 2_000):
         got = decontam.contaminated(d, items, shard_words=words).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
         assert all(r.score == pytest.approx(1.0) for r in got)
@@ -219,12 +219,29 @@ def test_wand_against_plain_bm25(spark, sf):
     want = bm25_passages(items, texts)
     for threshold in (0.15, 0.3, 0.6):
         held = {k: {a: v for a, v in p.items() if v >= threshold - 1e-9} for k, p in want.items()}
-        for words in (decontam.SHARD_WORDS, 400, 1):
+        for words in (decontam.SHARD_WORDS, 2_000):
             got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, texts), table, threshold=threshold, overlap=0.0, shard_words=words).collect()}
             assert set(got) == {k for k, p in held.items() if p}
             assert all(r.score == pytest.approx(held[k][r.word_at]) for k, r in got.items())
 
 
+def test_wand_blocks(monkeypatch):
+    """Candidates are those of a plain sum, whatever the size of blocks."""
+    rng = np.random.default_rng(8)
+    words = [b"w%d" % int(x) for x in rng.zipf(1.3, 40_000) % 900]
+    items = [(i, words[60 * i : 60 * i + int(rng.integers(3, 60))], 1) for i in range(600)]
+    df = Counter(w for _, own, _ in items for w in set(own))
+    for block in (1, 2, 7, 64, 1_000):
+        monkeypatch.setattr(decontam, "block_items", lambda n: block)  # noqa: B023
+        index = decontam.Index.build(items, df, len(items), 30.0)
+        for _ in range(30):
+            terms = np.unique(rng.integers(0, len(index.number), int(rng.integers(1, 120))))
+            score = np.array([w[np.isin(t, terms)].sum() for t, w in zip(index.terms, index.weights)])
+            for threshold in (0.1, 0.3, 0.6):
+                assert index.candidates(terms, threshold) == np.flatnonzero(score >= threshold).tolist()
+    assert decontam.Index.build([], {}, 0, 1.0).matches("some words", 0.5, 0.5) == []
+
+
 def test_shards(spark):
     rng = np.random.default_rng(1)
     rows = [(k % 40, [b"w%d" % i for i in range(n)]) for k, n in enumerate([*rng.integers(1, 60, 200), 900, 5_000])]
