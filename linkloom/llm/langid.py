@@ -4,7 +4,8 @@
    only). The fit takes at most `MOST_ROWS` of those rows, shared evenly among languages, the first by a
    hash of the id: a documented bound on the fit; every document is predicted from its whole text.
 2. Letters, lower case, with everything else as one space between words, give 1- to 3-grams, hashed to
-   `BUCKETS` counters; a value is (1 + ln count) * idf, scaled to unit length.
+   `BUCKETS` counters; a value is (1 + ln count) * idf, scaled to unit length. Document frequencies are those of
+   all rows outside the held-out fold that have a language.
 3. Each of `FIT_PARTS` tasks runs follow-the-regularised-leader with elastic-net penalties over its rows;
    the averaged weights are the model. Most weights are exactly zero.
 4. A temperature, chosen on rows that the weights never saw, makes the scores probabilities.
@@ -111,6 +112,29 @@ def _rows(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, int]]:
     return [(np.array(a.as_py(), np.int64), np.array(n.as_py(), np.float64), y.as_py()) for a, n, y in zip(b.column(0), b.column(1), b.column(2), strict=True)]
 
 
+def document_frequencies(texts: DataFrame) -> np.ndarray:
+    """How many of all texts hold each bucket; and, last, how many have a letter. A task adds up its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(BUCKETS + 1, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                if (v := ngrams(t.as_py())) is not None:
+                    df[v[0]] += 1
+                    df[BUCKETS] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["at", "n"])
+
+    seen = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS + 1 rows
+    out = np.zeros(BUCKETS + 1)
+    out[seen["at"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
+    return out
+
+
+def idf_of(df: np.ndarray) -> np.ndarray:
+    return np.where(df[:BUCKETS] > 0, np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 0.1, 0.0)
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2, most_rows: int = MOST_ROWS) -> Model:
     usable = docs.filter(F.col(lang_col).isNotNull() & (F.coalesce(fold(id_col), F.lit(0)) != held_out))
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(lang_col).collect()}  # a row a class, as the model has
@@ -133,11 +157,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = sample.select(F.col(text_col).alias("text"), pick(langs.index).cast("int").alias("y"), test.alias("test"))
     rows = shared_table(rows.mapInArrow(vectors, "at array<int>, n array<int>, y int, test boolean"), "lang-fit")
 
-    seen = rows.filter("not test").select(F.explode("at").alias("at")).groupBy("at").count().toPandas()  # at most BUCKETS rows
-    total = rows.filter("not test").count()
-    df = np.zeros(BUCKETS)
-    df[seen["at"].to_numpy()] = seen["count"].to_numpy()
-    model.idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 0.1, 0.0)
+    model.idf = idf_of(document_frequencies(usable.select(F.col(text_col).alias("text"))))
 
     def train(group: pa.Table) -> pa.Table:
         own = [r for b in group.select(["at", "n", "y"]).to_batches() for r in _rows(b)]
