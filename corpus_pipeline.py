@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import decontam, mixing, quality_classifier, secret_scan, simhash_wide
-from linkloom.shared import reach_workers, shared_table
+from linkloom.shared import drop_shared, reach_workers, written_alone
 
 
 def _stage(work):
@@ -69,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows as a table in the shared folder; tables that no later stage reads are deleted."""
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = shared_table(stage(spark, docs, sf_dir), name)
+        kept = written_alone(spark, lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        if docs is not given:
+            drop_shared(docs)
+        docs = kept
     return docs

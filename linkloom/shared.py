@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,23 +37,40 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that `shared_table` has written in this session.
+_written: list[str] = []
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: lineage ends there, and a
     lost executor costs only the tasks it was running."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` gives as a shared table, when the tables that were written on the way are deleted."""
+    before = len(_written)
+    out = shared_table(make(), name)
+    for folder in _written[before:-1]:
+        _delete(spark, folder)
+    _written[before:-1] = []
+    return out
+
+
 def drop_shared(df: DataFrame) -> None:
     """Delete the files behind a frame made by `shared_table` that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/part-" not in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def salt_of(*cols: str) -> Column:
