@@ -117,7 +117,7 @@ def small_blocks(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, bits: i
     root = np.arange(len(fps))
     for most in (2, 4, 8, 16, 32, 64):
         own = np.flatnonzero((sizes <= most) & (sizes > max(1, most // 2)))
-        for part in np.array_split(own, max(1, len(own) * most // 200_000)):
+        for part in np.array_split(own, max(1, len(own) // 2_000)):
             if not len(part):
                 continue
             planes, filled = word_blocks(fps, begins[part], sizes[part], most, bits)

@@ -124,7 +124,7 @@ def neighbours(key: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     for most in (2, 4, 8, 16, 32, 64):
         own = np.flatnonzero((sizes <= most) & (sizes > max(1, most // 2)))
-        for part in np.array_split(own, max(1, len(own) // 20_000)):
+        for part in np.array_split(own, max(1, len(own) // 2_000)):
             if not len(part):
                 continue
             planes, filled = bitslice.word_blocks(fps, edge[part], sizes[part], most, SCREEN)

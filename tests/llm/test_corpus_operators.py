@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import bitslice, components, decontam, mixing, queries, simhash, simhash_wide
 
+from linkloom.shared import shared_table
 from tests.llm.test_text_operators import ODD, docs
 
 
@@ -217,12 +218,11 @@ def test_wand_against_plain_bm25(spark, sf):
     texts += [" ".join(list(items.values())[k].split()[: 6 + 4 * k] + texts[k].split()) for k in range(8)] + [items[1_000], None, ""]
     table = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = bm25_passages(items, texts)
-    for threshold in (0.15, 0.3, 0.6):
+    for threshold, words in ((0.15, decontam.SHARD_WORDS), (0.3, 2_000), (0.3, decontam.SHARD_WORDS), (0.6, 2_000)):
         held = {k: {a: v for a, v in p.items() if v >= threshold - 1e-9} for k, p in want.items()}
-        for words in (decontam.SHARD_WORDS, 2_000):
-            got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, texts), table, threshold=threshold, overlap=0.0, shard_words=words).collect()}
-            assert set(got) == {k for k, p in held.items() if p}
-            assert all(r.score == pytest.approx(held[k][r.word_at]) for k, r in got.items())
+        got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs(spark, texts), table, threshold=threshold, overlap=0.0, shard_words=words).collect()}
+        assert set(got) == {k for k, p in held.items() if p}
+        assert all(r.score == pytest.approx(held[k][r.word_at]) for k, r in got.items())
 
 
 def test_wand_blocks(monkeypatch):
@@ -310,7 +310,7 @@ def test_pipeline(spark, sf):
     d, documents = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/documents.parquet").columns
     kept = {r.doc_id for r in d.collect()}
     for name, stage in c.STAGES[:-1]:
-        d = c.shared_table(stage(spark, d, sf), name)
+        d = shared_table(stage(spark, d, sf), name)
         assert d.columns == documents
         now = {r.doc_id for r in d.collect()}
         assert now <= kept and len(now) > 0.5 * len(kept)
@@ -320,6 +320,25 @@ def test_pipeline(spark, sf):
     assert set(c.run(spark, sf).columns) == set(last.columns)
 
 
+def test_pipeline_edges(spark, sf):
+    """Empty tables, null and odd texts, rows that repeat, and columns that clash."""
+    import corpus_pipeline as c
+
+    clean = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("quality = 1").limit(20).collect()]
+    for texts in ([], [None, "", "x"], [*ODD, *ODD, *clean, *clean]):
+        d = docs(spark, texts).withColumns({n: F.lit("c") for n in ("tag", "key", "_once", "id", "words", "place", "node")})
+        names, n = d.columns, len(texts)
+        for name, stage in c.STAGES[:-1]:
+            d = shared_table(stage(spark, d, sf), name)
+            assert d.columns == names and d.count() <= n
+            n = d.count()
+        last = c.STAGES[-1][1](spark, d, sf)
+        assert last.count() <= n and last.filter("taken < 0").count() == 0
+        if clean and len(texts) > 3:
+            kept = {r.text for r in d.collect()}
+            assert len(kept & set(clean)) >= 0.5 * len(set(clean))
+
+
 def test_null_ids(spark, sf):
     """A row without an id is a row like any other, and its result has no id."""
     from linkloom.llm import html_text, langid, lm_score, quality_classifier, quality_rules, secret_scan
