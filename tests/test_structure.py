@@ -53,7 +53,9 @@ def test_notes_and_links(spark):
 def test_trees_and_checks(spark):
     s = X.sections(files(spark))
     assert {(r.ord, r.trace) for r in X.lineage(s).filter("path = 'n/first.md'").collect()} == {(0, "Top"), (1, "Top > Sub")}
-    assert X.thin(s).filter("path = 'n/first.md'").count() == 1
+    assert X.thin(s).filter("path = 'n/first.md'").count() == 2  # the parent has words enough, the child no child
+    one = X.thin(s, 100).filter("path = 'n/first.md'").collect()
+    assert len(one) == 1 and "A lead line" in one[0].section_text and "Sub" in one[0].section_text and "- two" in one[0].section_text
     found = {(r.path, r.issue) for r in X.semantic_issues(s).collect()}
     assert {("n/second.md", "dead_link"), ("n/first.md", "id_collision"), ("n/first.md", "legacy_syntax"), ("n/first.md", "missing_id")} <= found
     assert {r.kind for r in X.block_rows(s).collect()} >= {"paragraph", "code"}
